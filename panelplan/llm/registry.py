@@ -1,18 +1,49 @@
-"""The queries of this package."""
+"""The queries of this package, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 
 from panelplan.llm.common import table
+from panelplan.llm.decontaminate import benchmark_hits
+from panelplan.llm.simhash import simhash_components
 from panelplan.llm.url_filter import filter_urls
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE: dict[str, str] = {}
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+ORACLE = {
+    "op9_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS p
+                FROM (SELECT item, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        dp AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS p
+               FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+        hit AS (SELECT doc_id, i, k, item FROM dp JOIN win USING (k, p)),
+        pos AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT DISTINCT doc_id, i, unnest(range(0, k)) AS o FROM hit) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(its.s, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AND 20 * coalesce(pos.n, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+}
