@@ -4,18 +4,34 @@ from __future__ import annotations
 
 import string
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelplan.llm.bpe import bpe_round_trip
 from panelplan.llm.common import table
 from panelplan.llm.decontaminate import benchmark_hits
 from panelplan.llm.simhash import simhash_components
+from panelplan.llm.token_files import token_file_digests
 from panelplan.llm.url_filter import filter_urls
+from panelplan.llm.warc import warc_round_trip
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -26,6 +42,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_token_files": op5_token_files,
+    "op6_warc": op6_warc,
+    "op7_bpe": op7_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
@@ -33,6 +52,12 @@ QUERIES = {
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
 ORACLE = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (d)""",
     "op9_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
