@@ -6,12 +6,15 @@ import string
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelplan.llm.bpe import bpe_round_trip
 from panelplan.llm.common import table
 from panelplan.llm.decontaminate import benchmark_hits
+from panelplan.llm.language import id_fold, identify_language, reference_texts
 from panelplan.llm.simhash import simhash_components
 from panelplan.llm.token_files import token_file_digests
+from panelplan.llm.toxicity import score_toxicity, train_toxicity
 from panelplan.llm.url_filter import filter_urls
 from panelplan.llm.warc import warc_round_trip
 
@@ -20,6 +23,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels, usable=id_fold(F.col("id"), 5) != 0)
+    held_out = F.coalesce(id_fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "spans")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    references = reference_texts(docs.filter(id_fold(F.col("doc_id"), 4) != 2))
+    held_out = F.coalesce(id_fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    return identify_language(docs, references).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,6 +60,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
+    "op3_language": op3_language,
     "op5_token_files": op5_token_files,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
