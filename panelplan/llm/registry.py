@@ -12,6 +12,7 @@ from panelplan.llm.bpe import bpe_round_trip
 from panelplan.llm.common import table
 from panelplan.llm.decontaminate import benchmark_hits
 from panelplan.llm.language import id_fold, identify_language, reference_texts
+from panelplan.llm.neighbours import nearest_neighbours
 from panelplan.llm.simhash import simhash_components
 from panelplan.llm.token_files import token_file_digests
 from panelplan.llm.toxicity import score_toxicity, train_toxicity
@@ -50,6 +51,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
+    "op8_neighbours": op8_neighbours,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
