@@ -13,6 +13,7 @@ from panelplan.llm.common import table
 from panelplan.llm.decontaminate import benchmark_hits
 from panelplan.llm.language import id_fold, identify_language, reference_texts
 from panelplan.llm.neighbours import nearest_neighbours
+from panelplan.llm.repeats import repeats_removed
 from panelplan.llm.simhash import simhash_components
 from panelplan.llm.token_files import token_file_digests
 from panelplan.llm.toxicity import score_toxicity, train_toxicity
@@ -39,6 +40,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, references).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), as_text=False)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
+    "op4_repeats": op4_repeats,
     "op5_token_files": op5_token_files,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
