@@ -1,16 +1,69 @@
-"""Corpus pipeline: the stages in order; each stage's rows are written and reread as the next one's documents."""
+"""Corpus pipeline: documents pass five stages in order.
+
+Each stage gets all rows that its predecessor kept; the rows are written to the shared folder and
+read again as the next stage's documents. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelplan.llm.bpe import bpe_decode, bpe_encode
+from panelplan.llm.common import table, written
+from panelplan.llm.decontaminate import benchmark_hits
+from panelplan.llm.repeats import repeats_removed
+from panelplan.llm.simhash import near_duplicates_removed
+from panelplan.llm.toxicity import score_toxicity, train_toxicity
+
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the conditional random field scores 0.5 or more go; it learns from all labels that are there."""
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    rejected = score_toxicity(docs, model).filter("score >= 0.5").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents with linked SimHash fingerprints, that with the smallest id stays."""
+    return near_duplicates_removed(docs)
+
 
-STAGES: list = []
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the passages that also begin elsewhere; n_chars is that of what is left."""
+    left = repeats_removed(docs).withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
+    return left.select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is inside windows of benchmark items go."""
+    hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
+    return docs.join(hits, "doc_id", "left_anti")
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts as token ids; `lossless` tells whether they decode to the text."""
+    path = public_tokenizers.path(VOCABULARY)
+    decoded = bpe_decode(bpe_encode(docs, path), path, out_col="decoded")
+    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe_encoding", encode_tokens),
+]
+
+#: Scores of a fitted model, fingerprints and merges are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from panelplan.llm.common import table, written
-
+    """documents through all stages."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
