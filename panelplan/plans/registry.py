@@ -39,7 +39,7 @@ CTE = {
     "recent": """SELECT f.forecast_month, m.parent_dealer_code, m.model_family_code, m.sku, sum(m.net_sales) AS sales
                  FROM sku_monthly m JOIN fmonths f ON m.month_of_sale >= f.forecast_month - INTERVAL 3 MONTH AND m.month_of_sale < f.forecast_month GROUP BY 1, 2, 3, 4""",
     "shares": """SELECT forecast_month, parent_dealer_code, model_family_code, sku, forecast, sales, family_sales, n_skus, family_sales = 0 AS no_history_flag,
-                        round(CASE WHEN family_sales = 0 THEN 1.0 / n_skus WHEN sales = 0 THEN 0.0 ELSE sales / family_sales END, 5) AS share
+                        round_even(CASE WHEN family_sales = 0 THEN 1.0 / n_skus WHEN sales = 0 THEN 0.0 ELSE sales / family_sales END, 5) AS share
                  FROM (SELECT *, sum(sales) OVER w AS family_sales, count(*) OVER w AS n_skus FROM (
                    SELECT f.*, s.sku, coalesce(r.sales, 0) AS sales FROM family_fc f JOIN skus s ON f.model_family_code = s.model_family_code AND lower(s.skustatus) = 'active'
                    LEFT JOIN recent r ON r.forecast_month = f.forecast_month AND r.parent_dealer_code = f.parent_dealer_code AND r.model_family_code = f.model_family_code AND r.sku = s.sku)
@@ -320,9 +320,9 @@ def d5_num_active_skus(spark, d):
     return disagg.num_active_skus(C.active_skus(_skus(spark, d)))
 
 
-@query("k9_disaggregate_months", f"SELECT forecast_month, parent_dealer_code, model_family_code, sku, n_skus, no_history_flag, {_rs('share', 'sku_forecast', digits=4)} FROM sku_fc")
+@query("k9_disaggregate_months", f"SELECT forecast_month, parent_dealer_code, model_family_code, sku, n_skus, no_history_flag, round(share, 5) AS share, {_rs('sku_forecast', digits=6)} FROM sku_fc")
 def k9_disaggregate_months(spark, d):
-    return _sku_forecast(spark, d).select("forecast_month", "parent_dealer_code", "model_family_code", "sku", "n_skus", "no_history_flag", *_r("share", "sku_forecast"))
+    return _sku_forecast(spark, d).select("forecast_month", "parent_dealer_code", "model_family_code", "sku", "n_skus", "no_history_flag", *_r("share", digits=5), *_r("sku_forecast", digits=6))
 
 
 @query("d34_reconcile", "SELECT forecast_month, parent_dealer_code, model_family_code, round(max(forecast), 2) AS family_forecast, round(sum(sku_forecast), 2) AS sku_total FROM sku_fc GROUP BY 1, 2, 3")
@@ -526,7 +526,7 @@ def d11_eligible_series(spark, d):
     return profile.eligible_series(profile.series_profile(_panel(spark, d), "series", "month_of_sale", "net_sales")).select("series", "n", *_r("nonzero_share"))
 
 
-@query("d13_monthly_contribution", """SELECT month_of_sale, total_monthly_sales, fiscal_year, total_yearly_sales, round(total_monthly_sales / total_yearly_sales, 4) AS monthly_contribution FROM (
+@query("d13_monthly_contribution", """SELECT month_of_sale, total_monthly_sales, fiscal_year, total_yearly_sales, round_even(total_monthly_sales / total_yearly_sales, 4) AS monthly_contribution FROM (
         SELECT *, sum(total_monthly_sales) OVER (PARTITION BY fiscal_year) AS total_yearly_sales FROM (SELECT month_of_sale, concat('FY''', lpad(CAST(year(month_of_sale + INTERVAL 9 MONTH) % 100 AS STRING), 2, '0')) AS fiscal_year, sum(net_sales) AS total_monthly_sales FROM panel GROUP BY 1, 2))""")
 def d13_monthly_contribution(spark, d):
     return profile.monthly_contribution(_panel(spark, d), "month_of_sale", "net_sales", C.fiscal_year(F.col("month_of_sale")))
