@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelplan.llm.bpe import bpe_decode, bpe_encode
+from panelplan.llm.bpe import bpe_encode_checked
 from panelplan.llm.common import table, written
 from panelplan.llm.decontaminate import benchmark_hits
 from panelplan.llm.repeats import repeats_removed
@@ -45,9 +45,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts as token ids; `lossless` tells whether they decode to the text."""
-    path = public_tokenizers.path(VOCABULARY)
-    decoded = bpe_decode(bpe_encode(docs, path), path, out_col="decoded")
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    found = bpe_encode_checked(docs, public_tokenizers.path(VOCABULARY))
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
 
 
 STAGES = [

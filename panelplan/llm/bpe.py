@@ -31,8 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _LATIN = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _NOT_LATIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
-#: A partition's word table is emptied beyond so many words; ids do not depend on it.
-KEPT_WORDS = 1_000_000
+#: The word table is emptied beyond so many words, and when a partition ends; ids do not depend on it.
+KEPT_WORDS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -206,6 +206,7 @@ def encoded(batches: Iterator[pa.RecordBatch], held, slice_rows: int = 4096) ->
         for at in range(0, batch.num_rows, slice_rows):
             part = batch.slice(at, slice_rows)
             yield part.append_column("ids", _lists(encoder.encode(part.column("text").to_pylist())))
+    encoder._forget()  # the worker may serve other stages next
 
 
 def decoded(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
@@ -257,6 +258,20 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "t
     return done.select("row.*", F.col("decoded").alias(out_col))
 
 
+def _checked(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    for b in decoded(encoded(batches, held), held):
+        same = [x == (y or "") for x, y in zip(b.column("decoded").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("ids"), pa.array(same)], ["row", "ids", "lossless"])
+
+
+def bpe_encode_checked(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """df with `ids` and `lossless` (whether they decode to the text), in one pass; columns of these names are replaced."""
+    held, names = _broadcast(df, path), [c for c in df.columns if c not in ("ids", "lossless", text_col)]
+    rows = df.select(F.col(text_col).alias("text"), F.struct(*names).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(lambda it: _checked(it, held), f"row {kind}, ids array<int>, lossless boolean").select("row.*", "ids", "lossless")
+
+
 def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256): each text encoded, its ids decoded, and both digested, in one pass."""
     held = _broadcast(df, path)

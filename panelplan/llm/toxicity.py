@@ -37,7 +37,7 @@ from panelplan.llm.common import top_k
 SAMPLE_DOCS = 900
 SAMPLE_CHARS = 10_000
 BUCKETS = 1 << 17
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -287,6 +287,7 @@ def _score(held, key: int):
                     starts.append([s for s, _ in spans])
                     ends.append([e for _, e in spans])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.scores(marginals), pa.float64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["id", "score", "starts", "ends"])
+        model._forget()  # the worker may serve other stages next
 
     return over
 
