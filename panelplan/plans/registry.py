@@ -151,11 +151,11 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _r(*names: str, digits: int = 4) -> list:
-    return [F.round(n, digits).alias(n) for n in names]
+    return [(F.round(n, digits) + F.lit(0.0)).alias(n) for n in names]  # + 0.0: no negative zero
 
 
 def _rs(*names: str, digits: int = 4) -> str:
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
+    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names)
 
 
 # Mapping and panel ---------------------------------------------------------------------------
