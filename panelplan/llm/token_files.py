@@ -1,7 +1,7 @@
 """Token ids in Arrow files: equal-length sequences and their masks, for random access without copying.
 
 Each file is an Arrow IPC file whose batches have two fixed-size-list columns: `ids` (the smallest
-unsigned type that the vocabulary fits) and `mask` (1 for a token, 0 for padding at a file's end).
+unsigned type that the vocabulary fits) and `mask` (true for a token, false for padding at a file's end).
 Sequence k of a file is row k; mapped to memory, its values are a view. Beside it lies an index file
 with a row for each document: its id, where its ids begin in the file, and how many there are.
 
@@ -20,20 +20,26 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelplan.llm.bpe import byte_letters
 from panelplan.llm.common import shared_dir, written
 from panelplan.llm.files import new_file, random_access
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 128
 KEPT_CHUNKS = 1_000_000
-_BLANKS = re.compile("[ \t\n\r]+")
+#: Fixed value: the split pattern of vocabularies with word ends; below, the same for lower-case Latin-1
+#: without the characters that Python's classes sort otherwise (x1C-x1F, superscripts, fractions).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_PIECES = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s0-9{_LETTERS}]+")
+_NOT_PLAIN = re.compile("[^\x00-\x1b\x20-;=-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")  # nor <, which begins special tokens
 _ENCODERS: dict[str, ChunkEncoder] = {}
 MANIFEST = "part int, path string, index_path string, n_docs long, n_ids long"
 
@@ -43,7 +49,8 @@ class ChunkEncoder:
 
     Right for tokenizers that drop blanks, split at them and treat what lies between alike wherever
     it stands; checked on the vocabulary's file: normalizers NFC, Replace, Lowercase; a Split that
-    keeps no white space."""
+    keeps no white space. Where the split is SPLIT after lowering, chunks of Latin-1 letters are cut
+    at it first, so that "word", "Word" and "word," share a piece."""
 
     def __init__(self, text: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task one core
@@ -54,15 +61,72 @@ class ChunkEncoder:
         normal = spec.get("normalizer") or {"normalizers": []}
         whole = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s" in parts[0]["pattern"].get("Regex", "")
         self.by_chunk = bool(whole) and {n["type"] for n in normal.get("normalizers", [normal])} <= {"NFC", "Replace", "Lowercase"}
+        self.by_piece = self.by_chunk and parts[0]["pattern"]["Regex"] == SPLIT and "Lowercase" in {n["type"] for n in normal.get("normalizers", [normal])}
         self.tokenizer = Tokenizer.from_str(text)
+        self._prepare_bare(spec, parts)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.end = np.array([] if end_id is None else [end_id], np.int64)
         self._forget()
 
+    def _prepare_bare(self, spec: dict, parts: list[dict]) -> None:
+        """The same BPE model of the library without the steps before it, for pieces that need none: the
+        words of a line, cut at blanks; where a word's last token has the word-end mark, words part there."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        suffix = spec["model"].get("end_of_word_suffix")
+        bytewise = len(parts) == 2 and parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+        self.bare = None
+        if self.by_piece and suffix and bytewise:
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            letter_of = {b: c for c, b in byte_letters().items()}
+            self.letters = {c: "".join(letter_of[b] for b in chr(c).encode()) for c in range(256)}
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.ends[i] = token.endswith(suffix)
+
+    def _encode_plain(self, pieces: list[str], line: int = 256) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, how many each has) of Latin-1 pieces in lower case, many to a line; None if words and word ends do not agree."""
+        written = [p.translate(self.letters) for p in pieces]
+        found = self.bare.encode_batch_fast([" ".join(written[at : at + line]) for at in range(0, len(written), line)], add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.int64) for e in found])
+        cuts = np.flatnonzero(self.ends[flat]) + 1
+        if len(cuts) != len(pieces) or cuts[-1] != len(flat):
+            return None
+        return flat, np.diff(cuts, prepend=0)
+
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        whole = lambda p: [e.ids for e in self.tokenizer.encode_batch_fast(p, add_special_tokens=False)]
+        plain = np.array([bool(p) and self.bare is not None and not _NOT_PLAIN.search(p) for p in pieces], bool)
+        found = self._encode_plain([p for p, ok in zip(pieces, plain, strict=True) if ok]) if plain.any() else None
+        if found is None:
+            self.piece_ids.append(whole(pieces))
+            return
+        both = _Lists()
+        both.append_flat(*found)
+        both.append(whole([p for p, ok in zip(pieces, plain, strict=True) if not ok]))
+        order = np.empty(len(pieces), np.int64)
+        order[np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))] = np.arange(len(pieces))
+        self.piece_ids.append_flat(both.take(order), both.size[order])
+
     def _forget(self) -> None:
-        self.place: dict[str, int] = defaultdict(count().__next__)
-        self.flat, self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.place: dict[str, int] = defaultdict(count().__next__)  # of chunks
+        self.pieces: dict[str, int] = defaultdict(count().__next__)
+        self.chunk_ids, self.piece_ids = _Lists(), _Lists()
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks by way of the pieces that are new among theirs."""
+        cut = lambda c: _PIECES.findall(c.lower()) if self.by_piece and not _NOT_PLAIN.search(c) else [c]
+        rows = [cut(c) for c in chunks]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        piece = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
+        new = list(self.pieces)[len(self.piece_ids.size) :]
+        for at in range(0, len(new), 20_000):
+            self._encode_pieces(new[at : at + 20_000])
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        n_ids = np.bincount(owner, weights=self.piece_ids.size[piece], minlength=len(rows)).astype(np.int64)
+        self.chunk_ids.append_flat(self.piece_ids.take(piece), n_ids)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_chunk:
@@ -70,20 +134,33 @@ class ChunkEncoder:
         if len(self.place) > KEPT_CHUNKS:
             self._forget()
         place = self.place.__getitem__
-        rows = [np.fromiter(map(place, _BLANKS.split(t or "")), np.int64) for t in texts]
-        new = list(self.place)[len(self.size) :]
-        for at in range(0, len(new), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
-            self.size = np.concatenate((self.size, sizes))
-            self.flat = np.concatenate((self.flat, np.fromiter((i for x in found for i in x), np.int64, int(sizes.sum()))))
-        out = []
-        for row in rows:
-            sizes = self.size[row]
-            ends = np.cumsum(sizes)
-            out.append(np.concatenate((self.flat[np.repeat(self.start[row] - ends + sizes, sizes) + np.arange(ends[-1])], self.end)))
-        return out
+        chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]  # "" is a chunk without ids
+        rows = [np.fromiter(map(place, c), np.int64, len(c)) for c in chunks]
+        if len(self.place) > len(self.chunk_ids.size):
+            self._learn(list(self.place)[len(self.chunk_ids.size) :])
+        return [np.concatenate((self.chunk_ids.take(row), self.end)) for row in rows]
+
+
+class _Lists:
+    """Lists of ids, laid end to end."""
+
+    def __init__(self):
+        self.flat, self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def append(self, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.append_flat(np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes)
+
+    def append_flat(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def take(self, which: np.ndarray) -> np.ndarray:
+        """The ids of these lists in turn."""
+        sizes = self.size[which]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.start[which] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _dtype(vocab_size: int) -> str:
@@ -111,7 +188,7 @@ class _Writer:
 
     def __init__(self, folder: str, part: int, dtype: str, length: int):
         self.dtype, self.length, self.part = np.dtype(dtype), length, part
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
         self.held = [new_file(folder, f"tokens-{part:06d}", ".arrow"), new_file(folder, f"index-{part:06d}", ".arrow")]
         (self.path, a), (self.index_path, b) = (h.__enter__() for h in self.held)
@@ -137,8 +214,8 @@ class _Writer:
         for at in range(0, end, unit):
             ids = flat[at : min(at + unit, end)]
             n = -(-len(ids) // self.length) * self.length
-            mask = np.zeros(n, np.uint8)
-            mask[: len(ids)] = 1
+            mask = np.zeros(n, bool)
+            mask[: len(ids)] = True
             padded = np.concatenate((ids, np.zeros(n - len(ids), self.dtype)))
             self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(padded), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
         self.waiting, self.n_waiting = [flat[end:]], len(flat) - end
