@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Standard normal quantiles of the service levels, and days of cover by ABC class.
 SERVICE_LEVELS = [(90, 1.28), (92, 1.41), (95, 1.65), (97, 1.88), (99, 2.33)]
 COVER_DAYS = {"A": 30, "B": 25, "C": 20}
+#: What the variability of an order is taken from: the SKU's own sales, or those of its family.
+BASES = ["sku", "family"]
 
 
 def demand_variability(monthly: DataFrame, keys: list[str], date: str = "month_of_sale", value: str = "net_sales", out: str = "variability") -> DataFrame:
@@ -78,10 +80,21 @@ def order_candidates(forecast: DataFrame, stock: DataFrame, lead: DataFrame) ->
     return forecast.join(stock, keys, "left").withColumn("closing_stock", F.coalesce("closing_stock", F.lit(0))).join(lead, keys, "left")
 
 
-def order_sweep(candidates: DataFrame, variability: DataFrame, spark, levels: list[tuple[int, float]] = SERVICE_LEVELS) -> DataFrame:
-    """Order quantities for all service levels in one job. variability: (parent_dealer_code, sku, basis, variability)."""
+def variability_by_basis(sku_sales: DataFrame, family_sales: DataFrame, skus: DataFrame) -> DataFrame:
+    """(parent_dealer_code, sku, basis, variability): each SKU's own, and its family's for every SKU of skus."""
+    own = demand_variability(sku_sales, ["parent_dealer_code", "sku"])
+    family = demand_variability(family_sales, ["parent_dealer_code", "model_family_code"]).join(skus.select("model_family_code", "sku").distinct(), "model_family_code")
+    one, two = [x.select("parent_dealer_code", "sku", F.lit(b).alias("basis"), "variability") for x, b in zip((own, family), BASES, strict=True)]
+    return one.unionByName(two)
+
+
+def order_sweep(candidates: DataFrame, variability: DataFrame, spark, levels: list[tuple[int, float]] = SERVICE_LEVELS, bases: list[str] = BASES) -> DataFrame:
+    """Order quantities of every candidate for all bases and service levels in one job.
+
+    variability: (parent_dealer_code, sku, basis, variability); 1 for candidates that it lacks."""
     wanted = spark.createDataFrame(levels, "service_level int, z double")
-    rows = candidates.join(variability, ["parent_dealer_code", "sku"]).crossJoin(F.broadcast(wanted))
+    each = candidates.crossJoin(F.broadcast(spark.createDataFrame([(b,) for b in bases], "basis string")))
+    rows = each.join(variability, ["parent_dealer_code", "sku", "basis"], "left").withColumn("variability", F.coalesce("variability", F.lit(1.0))).crossJoin(F.broadcast(wanted))
     return order_quantity(lead_time_stock(safety_stock(rows)))
 
 

@@ -383,9 +383,7 @@ def d6_stock_by_sku(spark, d):
 
 @query("k16_quarantine", "SELECT parent_dealer_code, sku, max_lead_time IS NULL AS quarantined FROM orders_in")
 def k16_quarantine(spark, d):
-    variability = planning.demand_variability(_sku_monthly(spark, d), ["parent_dealer_code", "sku"])
-    rows = _order_candidates(spark, d).join(variability, ["parent_dealer_code", "sku"])
-    good, bad = planning.split_null_lead(rows)
+    good, bad = planning.split_null_lead(_order_candidates(spark, d))
     return joins.concat(*[x.select("parent_dealer_code", "sku", F.lit(q).alias("quarantined")) for x, q in ((good, False), (bad, True))])
 
 
@@ -397,10 +395,11 @@ _SAFETY = "least(CAST(ceil(CAST(z AS DOUBLE) * variability * sqrt(CASE abc_class
         round(greatest(lead_avg + safety + sku_forecast - closing_stock, 0), 3) AS order_avg, round(greatest(lead_max + safety + sku_forecast - closing_stock, 0), 3) AS order_max, round(greatest(lead_max + safety - closing_stock, 0), 3) AS order_b_max
         FROM (SELECT *, {_SAFETY} AS safety, ceil(sku_forecast * min_lead_time / 30) AS lead_min, ceil(sku_forecast * avg_lead_time / 30) AS lead_avg, ceil(sku_forecast * max_lead_time / 30) AS lead_max FROM orders_in, {_Z} WHERE max_lead_time IS NOT NULL)""")
 def k18_order_sweep(spark, d):
-    variability = planning.demand_variability(_sku_monthly(spark, d), ["parent_dealer_code", "sku"]).withColumn("basis", F.lit("sku")).drop("n_months")
+    family_sales = mapping.monthly_sales(_mapped(spark, d), ("parent_dealer_code", "model_family_code"))
+    variability = planning.variability_by_basis(_sku_monthly(spark, d), family_sales, C.active_skus(_skus(spark, d)))
     good, _ = planning.split_null_lead(_order_candidates(spark, d))
     out = planning.order_sweep(good, variability, spark)
-    return out.select("service_level", "parent_dealer_code", "sku", *_r("safety_stock", "order_min", "order_avg", "order_max", "order_b_max", digits=3))
+    return out.select("service_level", "basis", "parent_dealer_code", "sku", *_r("safety_stock", "order_min", "order_avg", "order_max", "order_b_max", digits=3))
 
 
 @query("k20_dispatch_extract", """SELECT run_date, run_cycle_id, dealer, dispatch_id, coalesce(obl_cr_limit_avail >= 100000, false) AS fund_status FROM dispatch_runs

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelplan.functions import columns as C
 from panelplan.operators import calendar, checks, disagg, forecast, joins, mapping, metrics, panel, planning, profile, windows
+from panelplan.plans import registry
 from panelplan.sources import io
 from panelplan.spec import PanelSpec, RunTags
 
@@ -82,6 +83,25 @@ def test_order_sweep_and_quarantine(spark):
     assert got["s", "family"].safety_stock == 7.0 and got["u", "sku"].lead_stock_min is None
 
 
+def test_orders_keep_skus_without_a_sale(spark):
+    df = spark.createDataFrame([("d", "new", "A", 10.0, 4, 1.0, 2.0, 3.0)], "parent_dealer_code string, sku string, abc_class string, sku_forecast double, closing_stock int, min_lead_time double, avg_lead_time double, max_lead_time double")
+    sold = spark.createDataFrame([("d", "F", "old", date(2020, m, 1), float(v)) for m, v in ((1, 1), (2, 4), (5, 2))], "parent_dealer_code string, model_family_code string, sku string, month_of_sale date, net_sales double")
+    skus = spark.createDataFrame([("F", "old"), ("F", "new")], "model_family_code string, sku string")
+    v = planning.variability_by_basis(sold, sold, skus)
+    got = {(r.sku, r.basis): r.variability for r in planning.order_sweep(df, v, spark, [(95, 1.65)]).collect()}
+    assert got == {("new", "sku"): 1.0, ("new", "family"): pytest.approx(5 / math.sqrt(2))}
+    assert [r.variability for r in planning.order_sweep(df, v.filter("false"), spark, [(95, 1.65)]).collect()] == [1.0, 1.0]
+
+
+def test_every_forecast_sku_is_ordered_or_quarantined(spark):
+    d = "/root/testdata/sf0.001"
+    wanted = registry._order_candidates(spark, d).select("parent_dealer_code", "sku")
+    marked = registry.k16_quarantine(spark, d)
+    assert sorted(rows(marked.drop("quarantined"))) == sorted(rows(wanted))
+    bases = len(planning.BASES) * len(planning.SERVICE_LEVELS)
+    assert registry.k18_order_sweep(spark, d).count() == bases * marked.filter("not quarantined").count()
+
+
 def test_nearest_anchor_ties_go_to_the_earlier(spark):
     days = spark.createDataFrame([(date(2020, 1, 5),), (date(2019, 12, 1),), (date(2020, 2, 1),)], "cal_date date")
     anchors = spark.createDataFrame([(date(2020, 1, 1),), (date(2020, 1, 9),)], "anchor date")
