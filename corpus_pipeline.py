@@ -19,15 +19,19 @@ from panelplan.llm.toxicity import score_toxicity, train_toxicity
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """(row, text): a verdict then stays with its row, also where ids are null or repeat."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field scores 0.5 or more go; it learns from all labels that are there."""
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
-    rejected = score_toxicity(docs, model).filter("score >= 0.5").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    return score_toxicity(_carried(docs), model, "row", keep_text=True).filter("score < 0.5").select("row.*", "text").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with linked SimHash fingerprints, that with the smallest id stays."""
+    """Of each group of documents with linked SimHash fingerprints, that with the smallest id stays; so do all with a null id."""
     return near_duplicates_removed(docs)
 
 
@@ -39,8 +43,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is inside windows of benchmark items go."""
-    hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti")
+    hits = benchmark_hits(_carried(docs), table(spark, sf_dir, "benchmark"), "row", keep_text=True)
+    return hits.filter("not contaminated").select("row.*", "text").select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,14 +126,18 @@ def _scan(name: str, broadcast):
     return over
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits = [_covered(s, e) for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
-        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in batch.column("items").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("n_words"), pa.array(hits, pa.int64()), batch.column("items"), pa.array(digests, pa.string())],
-            ["id", "n_words", "n_hit", "items", "items_sha256"],
-        )
+def _finish(keep_text: bool):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [_covered(s, e) for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
+            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in batch.column("items").to_pylist()]
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("n_words"), pa.array(hits, pa.int64()), batch.column("items"), pa.array(digests, pa.string())],
+                ["id", "n_words", "n_hit", "items", "items_sha256"],
+            )
+            yield out.append_column("text", batch.column("text")) if keep_text else out
+
+    return over
 
 
 def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, limit: int) -> Iterator[list]:
@@ -152,8 +156,8 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, lim
     yield shard
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(id_col, n_words, n_hit, n_items, items, items_sha256, contaminated) for each document.
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, keep_text: bool = False) -> DataFrame:
+    """(id_col, n_words, n_hit, n_items, items, items_sha256, contaminated), and text with keep_text, for each document.
 
     n_hit: words inside any occurrence of a window; items: sorted ids whose windows occur;
     contaminated: n_hit > 0 and 20 * n_hit >= n_words."""
@@ -163,8 +167,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     for shard in _shards(benchmark, item_col, item_text_col, window, shard_words):
         held = spark.sparkContext.broadcast(shard)  # of shard_words words at most
         rows = rows.mapInArrow(_scan(f"{spark.sparkContext.applicationId}-{id(held)}", held), f"id {id_type}, text string, n_words long, starts array<int>, ends array<int>, items array<string>")
-    found = rows.mapInArrow(_finish, f"id {id_type}, n_words long, n_hit long, items array<string>, items_sha256 string")
+    found = rows.mapInArrow(_finish(keep_text), f"id {id_type}, n_words long, n_hit long, items array<string>, items_sha256 string{', text string' * keep_text}")
     return found.select(
         F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "items_sha256",
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"), *["text"] * keep_text,
     )

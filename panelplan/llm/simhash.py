@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelplan.llm.common import min_component, written
@@ -180,8 +180,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marks.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _first_rows(rows: DataFrame, words: int = 4, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+    """The smallest `row` (__id, __th) of each group of linked fingerprints; nodes are fingerprints, as ids may repeat."""
+    marks = rows.mapInArrow(_fingerprints(words), "id struct<__id: bigint, __th: bigint>, fp long")
+    nodes = written(marks.groupBy("fp").agg(F.min("id").alias("first")), "simhash")
+    parts = min_component(fingerprint_links(nodes.select("fp", F.col("fp").alias("rep")), bits, block))
+    groups = nodes.join(parts, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group"))
+    return groups.agg(F.min("first").alias("first")).select("first.*")
+
+
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that are the smallest id of their component; one of each group of near copies stays."""
-    parts = simhash_components(docs, id_col, text_col, **how)
-    keep = parts.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    """One row of each group of linked fingerprints: that with the smallest id, of equal ids the smallest text hash.
+
+    Rows decide, not ids: rows that share an id but no link stay both, and of a row and its repetition
+    one stays. Rows with a null id have no part in links and all stay."""
+    columns = docs.columns
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keep = _first_rows(keyed.filter("__id is not null").select(F.struct("__id", "__th").alias("row"), F.col(text_col).alias("text")), **how)
+    order = F.to_json(F.struct(*[c for c in columns if c != text_col]))
+    found = keyed.join(keep, ["__id", "__th"], "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__th").orderBy(order))).filter("__n = 1")
+    return found.select(columns).unionByName(docs.filter(F.col(id_col).isNull()))

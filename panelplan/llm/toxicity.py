@@ -265,7 +265,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = N
 _MODELS: dict[int, ToxicModel] = {}
 
 
-def _score(held, key: int):
+def _score(held, key: int, keep_text: bool):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _MODELS:
             _MODELS.clear()
@@ -286,18 +286,19 @@ def _score(held, key: int):
                         spans = [(places[a][0], places[b - 1][1]) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
                     starts.append([s for s, _ in spans])
                     ends.append([e for _, e in spans])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.scores(marginals), pa.float64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["id", "score", "starts", "ends"])
+                out = pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.scores(marginals), pa.float64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["id", "score", "starts", "ends"])
+                yield out.append_column("text", part.column("text")) if keep_text else out
         model._forget()  # the worker may serve other stages next
 
     return over
 
 
-def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score, spans): spans are the character offsets (start, end) of runs of toxic words."""
+def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """(id_col, score, spans), and text with keep_text: spans are the character offsets (start, end) of runs of toxic words."""
     packed = pickle.dumps(model)  # of fixed size: BUCKETS weights
     held = docs.sparkSession.sparkContext.broadcast(packed)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_score(held, zlib.crc32(packed)), f"id {kind}, score double, starts array<int>, ends array<int>")
+    found = rows.mapInArrow(_score(held, zlib.crc32(packed), keep_text), f"id {kind}, score double, starts array<int>, ends array<int>{', text string' * keep_text}")
     spans = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.struct(s["starts"].alias("start"), s["ends"].alias("end")))
-    return found.select(F.col("id").alias(id_col), "score", spans.alias("spans"))
+    return found.select(F.col("id").alias(id_col), "score", spans.alias("spans"), *["text"] * keep_text)

@@ -392,6 +392,30 @@ def test_decontamination_equals_brute_force(spark, shard):
     assert decontaminate.benchmark_hits(docs.filter("false"), bench).count() == 0
 
 
+def test_stages_decide_by_row(spark, odd, tmp_path):
+    """Null and repeated ids: each row is kept or dropped for its own text."""
+    import corpus_pipeline
+
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    all_rows, where = texts(odd), str(tmp_path)
+    want = Counter({(None, "no id"): 1, (0, None): 1, (3, "again id 3"): 1} | {(k, ODD[k]): 1 for k in (3, 4, 5, 6, 7)})
+    assert texts(simhash.near_duplicates_removed(odd)) == want  # all but copies of (0, null) and (7, ...)
+    assert texts(simhash.near_duplicates_removed(odd.unionByName(odd.filter("doc_id is not null")))) == want
+    assert texts(simhash.near_duplicates_removed(odd.unionByName(odd.filter("doc_id is null")))) == want + Counter([(None, "no id")])
+
+    spark.createDataFrame([("b", "no id"), ("c", "again id 3")], "item_id string, text string").write.parquet(f"{where}/benchmark.parquet")
+    clean = texts(corpus_pipeline.drop_contaminated(spark, odd, where))
+    assert clean == all_rows - Counter([(None, "no id"), (3, "again id 3")])
+
+    docs = table(spark, SMALL, "documents")
+    model = toxicity.train_toxicity(docs, table(spark, SMALL, "labels"))
+    toxic = toxicity.score_toxicity(docs, model).filter("score >= 0.5").join(docs, "doc_id").first()["text"]
+    mixed = docs.limit(40).unionByName(docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit(toxic).alias("text"), *docs.columns[2:]))
+    mixed = mixed.unionByName(docs.limit(1).withColumn("text", F.lit(toxic)))
+    left = corpus_pipeline.drop_toxic(spark, mixed.unionByName(docs.filter("doc_id > 40")), SMALL)
+    assert left.filter(F.col("text") == toxic).count() == 0 and left.columns == docs.columns
+
+
 # 10 -----------------------------------------------------------------------------------------
 
 
