@@ -15,6 +15,7 @@ items count for each; repeated item ids count once; repeated documents are kept.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -75,7 +76,7 @@ def _windows(item_words: list[bytes], window: int) -> set[tuple[bytes, ...]]:
 
 
 class _Shard:
-    """Searchers by pattern length, built once in a worker."""
+    """Searchers by pattern length, built once in a worker; known by the hash of their content."""
 
     built: dict[str, _Shard] = {}
 
@@ -107,7 +108,7 @@ def _scan(name: str, broadcast):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _Shard.built:
             _Shard.built.clear()
-            _Shard.built[name] = _Shard(broadcast.value)
+            _Shard.built[name] = _Shard(pickle.loads(broadcast.value))
         shard = _Shard.built[name]
         for batch in batches:
             n_words, starts, ends, items = [], [], [], []
@@ -165,8 +166,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("items"))
     id_type = rows.schema["id"].dataType.simpleString()
     for shard in _shards(benchmark, item_col, item_text_col, window, shard_words):
-        held = spark.sparkContext.broadcast(shard)  # of shard_words words at most
-        rows = rows.mapInArrow(_scan(f"{spark.sparkContext.applicationId}-{id(held)}", held), f"id {id_type}, text string, n_words long, starts array<int>, ends array<int>, items array<string>")
+        packed = pickle.dumps(shard)
+        held = spark.sparkContext.broadcast(packed)  # of shard_words words at most
+        rows = rows.mapInArrow(_scan(hashlib.sha256(packed).hexdigest(), held), f"id {id_type}, text string, n_words long, starts array<int>, ends array<int>, items array<string>")
     found = rows.mapInArrow(_finish(keep_text), f"id {id_type}, n_words long, n_hit long, items array<string>, items_sha256 string{', text string' * keep_text}")
     return found.select(
         F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "items_sha256",

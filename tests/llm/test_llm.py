@@ -392,6 +392,14 @@ def test_decontamination_equals_brute_force(spark, shard):
     assert decontaminate.benchmark_hits(docs.filter("false"), bench).count() == 0
 
 
+def test_another_benchmark_is_not_searched_with_the_last_tables(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "id", lambda held: 1, raising=False)  # as where an address is used again
+    docs = spark.createDataFrame([(1, "one two"), (2, "three four")], "doc_id long, text string").coalesce(1)
+    for text, want in (("one two", {1}), ("three four", {2}), ("one two", {1})):
+        bench = spark.createDataFrame([("i", text)], "item_id string, text string")
+        assert {r.doc_id for r in decontaminate.benchmark_hits(docs, bench).filter("contaminated").collect()} == want
+
+
 def test_stages_decide_by_row(spark, odd, tmp_path):
     """Null and repeated ids: each row is kept or dropped for its own text."""
     import corpus_pipeline
