@@ -19,6 +19,18 @@ def demand_variability(monthly: DataFrame, keys: list[str], date: str = "month_o
     return found.withColumn(out, F.when(F.col("n_months") <= 2, F.lit(1.0)).otherwise(F.coalesce("__sd", F.lit(1.0)))).drop("__sd")
 
 
+def run_window(sales: DataFrame, run: DataFrame, k: int, date: str = "month_of_sale") -> DataFrame:
+    """Rows of the k whole months before the run's month; run has one row, a date run_month."""
+    first = F.trunc("run_month", "MM")
+    one = run.select(F.add_months(first, -k).alias("__lo"), first.alias("__hi"))
+    return sales.join(F.broadcast(one), (F.col(date) >= F.col("__lo")) & (F.col(date) < F.col("__hi"))).drop("__lo", "__hi")
+
+
+def family_sales(monthly: DataFrame, date: str = "month_of_sale", value: str = "net_sales") -> DataFrame:
+    """Monthly SKU sales added up by family."""
+    return monthly.groupBy("parent_dealer_code", "model_family_code", date).agg(F.sum(value).alias(value))
+
+
 def running_share(df: DataFrame, part: list[str], value: str, tie: str) -> DataFrame:
     """share (% of the part's total, 0 for a total of 0) and running share, largest first, ties by `tie`."""
     whole = Window.partitionBy(*part)

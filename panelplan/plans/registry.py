@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelplan.functions import columns as C
 from panelplan.operators import calendar, checks, disagg, forecast, joins, mapping, metrics, panel, planning, profile, reports, windows
 from panelplan.plans.views import VIEWS, load, source, view, with_views
+from panelplan.sources.scratch import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,8 +129,13 @@ def _family_forecast(sales: DataFrame) -> DataFrame:
     return recent.select("forecast_month", "parent_dealer_code", "model_family_code", (F.col("sales") / 3).alias("forecast"))
 
 
-def _sku_forecast(spark: SparkSession, d: str) -> DataFrame:
-    sales = _sku_monthly(spark, d)
+def _staged_sales(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly SKU sales, written once: months, family forecasts, look-backs and variability all start from them."""
+    return staged(_sku_monthly(spark, d), "sku-monthly")
+
+
+def _sku_forecast(spark: SparkSession, d: str, sales: DataFrame | None = None) -> DataFrame:
+    sales = _staged_sales(spark, d) if sales is None else sales
     return disagg.disaggregate_months(_family_forecast(sales), sales, _skus(spark, d))
 
 
@@ -311,7 +317,7 @@ def j6_scale_series(spark, d):
 
 @query("c6_lookback_sales", "SELECT * FROM recent")
 def c6_lookback_sales(spark, d):
-    sales = _sku_monthly(spark, d)
+    sales = _staged_sales(spark, d)
     return disagg.lookback_sales(sales, _forecast_months(sales), ["parent_dealer_code", "model_family_code", "sku"])
 
 
@@ -332,50 +338,78 @@ def d34_reconcile(spark, d):
 
 # Planning ------------------------------------------------------------------------------------
 
-_VARIABILITY = """SELECT parent_dealer_code, sku, CASE WHEN count(*) <= 2 THEN 1.0 ELSE coalesce(stddev_samp(c), 1.0) END AS variability, count(*) AS n_months
-    FROM (SELECT *, net_sales - lag(net_sales) OVER (PARTITION BY parent_dealer_code, sku ORDER BY month_of_sale) AS c FROM sku_monthly) GROUP BY 1, 2"""
+#: The planning run is that of the newest forecast month; variability looks at the 12 months before it.
+CTE["run"] = "SELECT max(forecast_month) AS run_month FROM fmonths"
+CTE["year_sales"] = "SELECT m.* FROM sku_monthly m, run WHERE m.month_of_sale >= run_month - INTERVAL 12 MONTH AND m.month_of_sale < run_month"
+_DEVIATION = """SELECT {keys}, CASE WHEN count(*) <= 2 THEN 1.0 ELSE coalesce(stddev_samp(c), 1.0) END AS variability, count(*) AS n_months
+    FROM (SELECT *, net_sales - lag(net_sales) OVER (PARTITION BY {keys} ORDER BY month_of_sale) AS c FROM {sales}) GROUP BY {keys}"""
+CTE["sku_variability"] = _DEVIATION.format(keys="parent_dealer_code, model_family_code, sku", sales="year_sales")
+CTE["family_variability"] = _DEVIATION.format(keys="parent_dealer_code, model_family_code", sales="(SELECT parent_dealer_code, model_family_code, month_of_sale, sum(net_sales) AS net_sales FROM year_sales GROUP BY 1, 2, 3)")
+
+
+def _year_sales(sales: DataFrame) -> DataFrame:
+    run = _forecast_months(sales).agg(F.max("forecast_month").alias("run_month"))
+    return planning.run_window(sales, run, 12)
+
 
+@query("k3_run_windows", """SELECT k, parent_dealer_code, count(*) AS n, sum(net_sales) AS net_sales FROM sku_monthly, run, (VALUES (3), (12)) AS w(k)
+        WHERE month_of_sale >= run_month - CAST(k AS INT) * INTERVAL 1 MONTH AND month_of_sale < run_month GROUP BY 1, 2""")
+def k3_run_windows(spark, d):
+    sales = _staged_sales(spark, d)
+    run = _forecast_months(sales).agg(F.max("forecast_month").alias("run_month"))
+    parts = [planning.run_window(sales, run, k).groupBy(F.lit(k).alias("k"), "parent_dealer_code").agg(F.count("*").alias("n"), F.sum("net_sales").alias("net_sales")) for k in (3, 12)]
+    return joins.concat(*parts)
 
-@query("k12_demand_variability", f"SELECT parent_dealer_code, sku, n_months, {_rs('variability')} FROM ({_VARIABILITY})")
+
+@query("k12_demand_variability", f"""SELECT 'sku' AS basis, parent_dealer_code, model_family_code, sku, n_months, {_rs('variability')} FROM sku_variability
+        UNION ALL SELECT 'family', parent_dealer_code, model_family_code, NULL, n_months, {_rs('variability')} FROM family_variability""")
 def k12_demand_variability(spark, d):
-    return planning.demand_variability(_sku_monthly(spark, d), ["parent_dealer_code", "sku"]).select("parent_dealer_code", "sku", "n_months", *_r("variability"))
+    sales = _year_sales(_staged_sales(spark, d))
+    own = planning.demand_variability(sales, ["parent_dealer_code", "model_family_code", "sku"])
+    family = planning.demand_variability(planning.family_sales(sales), ["parent_dealer_code", "model_family_code"]).withColumn("sku", F.lit(None).cast("string"))
+    return joins.concat(*[x.select(F.lit(b).alias("basis"), "parent_dealer_code", "model_family_code", "sku", "n_months", *_r("variability")) for b, x in (("sku", own), ("family", family))])
+
 
+CTE["plan_fc"] = "SELECT f.* FROM sku_fc f, run WHERE forecast_month = run_month"
+CTE["abc"] = """SELECT parent_dealer_code, model_family_code, CASE WHEN running < 70 THEN 'A' WHEN running > 90 THEN 'C' ELSE 'B' END AS abc_class FROM (
+    SELECT parent_dealer_code, model_family_code, sum(pct) OVER (PARTITION BY parent_dealer_code ORDER BY forecast DESC, model_family_code ROWS UNBOUNDED PRECEDING) AS running FROM (
+      SELECT *, coalesce(forecast * 100 / nullif(sum(forecast) OVER (PARTITION BY parent_dealer_code), 0), 0) AS pct FROM (SELECT DISTINCT parent_dealer_code, model_family_code, forecast FROM plan_fc)))"""
 
-CTE["abc"] = """SELECT parent_dealer_code, model_family, CASE WHEN running < 70 THEN 'A' WHEN running > 90 THEN 'C' ELSE 'B' END AS abc_class FROM (
-    SELECT parent_dealer_code, model_family, sum(pct) OVER (PARTITION BY parent_dealer_code ORDER BY total DESC, model_family ROWS UNBOUNDED PRECEDING) AS running FROM (
-      SELECT parent_dealer_code, model_family, sum(net_sales) AS total, coalesce(sum(net_sales) * 100 / nullif(sum(sum(net_sales)) OVER (PARTITION BY parent_dealer_code), 0), 0) AS pct FROM monthly GROUP BY 1, 2))"""
 
+def _plan_forecast(spark, d, sales):
+    """SKU forecasts of the planning month, the newest."""
+    fc = _sku_forecast(spark, d, sales)
+    return fc.join(F.broadcast(fc.agg(F.max("forecast_month").alias("forecast_month"))), "forecast_month", "left_semi")
 
-def _abc(spark, d):
-    totals = _monthly(spark, d).groupBy("parent_dealer_code", "model_family").agg(F.sum("net_sales").alias("total"))
-    return planning.abc_class(totals, ["parent_dealer_code"], "total", "model_family")
+
+def _abc(forecast: DataFrame) -> DataFrame:
+    """ABC class of each family of a dealer, by the family's forecast."""
+    families = forecast.select("parent_dealer_code", "model_family_code", "forecast").distinct()
+    return planning.abc_class(families, ["parent_dealer_code"], "forecast", "model_family_code").select("parent_dealer_code", "model_family_code", "abc_class")
 
 
 @query("k13_abc_class", "SELECT * FROM abc")
 def k13_abc_class(spark, d):
-    return _abc(spark, d).select("parent_dealer_code", "model_family", "abc_class")
+    return _abc(_plan_forecast(spark, d, _staged_sales(spark, d)))
 
 
-CTE["orders_in"] = f"""SELECT f.parent_dealer_code, f.sku, f.model_family_code, a.abc_class, f.sku_forecast, v.variability, coalesce(t.closing_stock, 0) AS closing_stock, l.min_lead_time, l.avg_lead_time, l.max_lead_time
-    FROM (SELECT * FROM sku_fc WHERE forecast_month = (SELECT max(forecast_month) FROM sku_fc)) f
-    JOIN ({_VARIABILITY}) v ON v.parent_dealer_code = f.parent_dealer_code AND v.sku = f.sku
-    JOIN abc a ON a.parent_dealer_code = f.parent_dealer_code AND a.model_family = split_part(f.model_family_code, '<>', 1)
-    LEFT JOIN (SELECT d.parent_dealer_code, coalesce(w.current_sku, s.sku) AS sku, sum(s.closing_stock) AS closing_stock FROM stock s LEFT JOIN following w ON s.sku = w.sku JOIN dealers d ON s.dealer_code = d.dealer_code GROUP BY 1, 2) t
-      ON t.parent_dealer_code = f.parent_dealer_code AND t.sku = f.sku
+CTE["stock_now"] = """SELECT d.parent_dealer_code, coalesce(w.current_sku, s.sku) AS sku, CAST(sum(s.closing_stock) AS BIGINT) AS closing_stock
+    FROM stock s LEFT JOIN following w ON s.sku = w.sku JOIN dealers d ON s.dealer_code = d.dealer_code GROUP BY 1, 2"""
+CTE["orders_in"] = """SELECT f.parent_dealer_code, f.sku, f.model_family_code, a.abc_class, f.sku_forecast, coalesce(t.closing_stock, 0) AS closing_stock, l.min_lead_time, l.avg_lead_time, l.max_lead_time
+    FROM plan_fc f LEFT JOIN abc a ON a.parent_dealer_code = f.parent_dealer_code AND a.model_family_code = f.model_family_code
+    LEFT JOIN stock_now t ON t.parent_dealer_code = f.parent_dealer_code AND t.sku = f.sku
     LEFT JOIN lead_time l ON l.parent_dealer_code = f.parent_dealer_code AND l.sku = f.sku"""
 
 
-def _order_candidates(spark, d):
+def _order_candidates(spark, d, sales=None):
     t = _tables(spark, d)
-    fc = _sku_forecast(spark, d)
-    newest = fc.agg(F.max("forecast_month").alias("forecast_month"))
-    fc = fc.join(F.broadcast(newest), "forecast_month", "left_semi").withColumn("model_family", F.split_part("model_family_code", F.lit("<>"), F.lit(1)))
-    fc = fc.join(F.broadcast(_abc(spark, d).select("parent_dealer_code", "model_family", "abc_class")), ["parent_dealer_code", "model_family"])
+    fc = staged(_plan_forecast(spark, d, _staged_sales(spark, d) if sales is None else sales), "plan-forecast")
+    fc = fc.join(_abc(fc), ["parent_dealer_code", "model_family_code"], "left")
     stock = planning.stock_by_sku(view(spark, d, "stock"), mapping.successors(t["obd_mapping"], t["sku_source"]), mapping.parent_dealer(t["dealer_hierarchy"]), "2001-08-31")
     return planning.order_candidates(fc, stock, view(spark, d, "lead_time"))
 
 
-@query("d6_stock_by_sku", "SELECT d.parent_dealer_code, coalesce(w.current_sku, s.sku) AS sku, CAST(sum(s.closing_stock) AS BIGINT) AS closing_stock FROM stock s LEFT JOIN following w ON s.sku = w.sku JOIN dealers d ON s.dealer_code = d.dealer_code GROUP BY 1, 2")
+@query("d6_stock_by_sku", "SELECT * FROM stock_now")
 def d6_stock_by_sku(spark, d):
     t = _tables(spark, d)
     return planning.stock_by_sku(view(spark, d, "stock"), mapping.successors(t["obd_mapping"], t["sku_source"]), mapping.parent_dealer(t["dealer_hierarchy"]), "2001-08-31")
@@ -391,15 +425,43 @@ _Z = "(VALUES (90, 1.28), (92, 1.41), (95, 1.65), (97, 1.88), (99, 2.33)) AS s(s
 _SAFETY = "least(CAST(ceil(CAST(z AS DOUBLE) * variability * sqrt(CASE abc_class WHEN 'A' THEN 30 WHEN 'B' THEN 25 WHEN 'C' THEN 20 ELSE 15 END / 30.0)) AS DOUBLE), sku_forecast * 3)"
 
 
-@query("k18_order_sweep", f"""SELECT service_level, parent_dealer_code, sku, round(safety, 3) AS safety_stock, round(greatest(lead_min + safety + sku_forecast - closing_stock, 0), 3) AS order_min,
-        round(greatest(lead_avg + safety + sku_forecast - closing_stock, 0), 3) AS order_avg, round(greatest(lead_max + safety + sku_forecast - closing_stock, 0), 3) AS order_max, round(greatest(lead_max + safety - closing_stock, 0), 3) AS order_b_max
-        FROM (SELECT *, {_SAFETY} AS safety, ceil(sku_forecast * min_lead_time / 30) AS lead_min, ceil(sku_forecast * avg_lead_time / 30) AS lead_avg, ceil(sku_forecast * max_lead_time / 30) AS lead_max FROM orders_in, {_Z} WHERE max_lead_time IS NOT NULL)""")
+CTE["orders_each"] = f"""SELECT o.*, s.service_level, s.z, b.basis, coalesce(CASE WHEN b.basis = 'sku' THEN v.variability ELSE w.variability END, 1.0) AS variability
+    FROM orders_in o LEFT JOIN sku_variability v ON v.parent_dealer_code = o.parent_dealer_code AND v.sku = o.sku
+    LEFT JOIN family_variability w ON w.parent_dealer_code = o.parent_dealer_code AND w.model_family_code = o.model_family_code
+    CROSS JOIN {_Z} CROSS JOIN (VALUES ('sku'), ('family')) AS b(basis) WHERE o.max_lead_time IS NOT NULL"""
+CTE["order_rows"] = f"""SELECT service_level, basis, parent_dealer_code, sku, safety, greatest(lead_min + safety + sku_forecast - closing_stock, 0) AS order_min, greatest(lead_avg + safety + sku_forecast - closing_stock, 0) AS order_avg,
+    greatest(lead_max + safety + sku_forecast - closing_stock, 0) AS order_max, greatest(lead_max + safety - closing_stock, 0) AS order_b_max
+    FROM (SELECT *, {_SAFETY} AS safety, ceil(sku_forecast * min_lead_time / 30) AS lead_min, ceil(sku_forecast * avg_lead_time / 30) AS lead_avg, ceil(sku_forecast * max_lead_time / 30) AS lead_max FROM orders_each)"""
+
+
+def _orders(spark, d):
+    sales = _staged_sales(spark, d)
+    year = _year_sales(sales)
+    variability = planning.variability_by_basis(year, planning.family_sales(year), C.active_skus(_skus(spark, d)))
+    good, _ = planning.split_null_lead(_order_candidates(spark, d, sales))
+    return planning.order_sweep(good, variability, spark)
+
+
+@query("k18_order_sweep", """SELECT service_level, basis, parent_dealer_code, sku, round(safety, 3) AS safety_stock, round(order_min, 3) AS order_min, round(order_avg, 3) AS order_avg,
+        round(order_max, 3) AS order_max, round(order_b_max, 3) AS order_b_max FROM order_rows""")
 def k18_order_sweep(spark, d):
-    family_sales = mapping.monthly_sales(_mapped(spark, d), ("parent_dealer_code", "model_family_code"))
-    variability = planning.variability_by_basis(_sku_monthly(spark, d), family_sales, C.active_skus(_skus(spark, d)))
-    good, _ = planning.split_null_lead(_order_candidates(spark, d))
-    out = planning.order_sweep(good, variability, spark)
-    return out.select("service_level", "basis", "parent_dealer_code", "sku", *_r("safety_stock", "order_min", "order_avg", "order_max", "order_b_max", digits=3))
+    return _orders(spark, d).select("service_level", "basis", "parent_dealer_code", "sku", *_r("safety_stock", "order_min", "order_avg", "order_max", "order_b_max", digits=3))
+
+
+#: As a table of recommendations would have them: several run dates, one row for each SKU and date.
+CTE["end_of_journey"] = """SELECT CAST(p_partkey AS STRING) AS sku, CASE WHEN (p_size + k) % 7 = 0 THEN 'Y' ELSE 'N' END AS recommend_end_of_journey, CAST(CASE WHEN k = 0 THEN '2001-07-01' ELSE '2001-08-01' END AS DATE) AS run_date
+    FROM part CROSS JOIN (VALUES (0), (1)) AS t(k)"""
+CTE["dealer_master"] = "SELECT CAST(n_nationkey AS STRING) AS dealer_code, n_name AS area_office, r_name AS zone FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@query("k19_enrich_orders", """SELECT o.service_level, o.basis, o.parent_dealer_code, o.sku, round(o.order_max, 3) AS order_max, e.recommend_end_of_journey, m.area_office, m.zone
+        FROM order_rows o LEFT JOIN (SELECT sku, recommend_end_of_journey FROM end_of_journey WHERE run_date = (SELECT max(run_date) FROM end_of_journey)) e ON e.sku = o.sku
+        LEFT JOIN dealer_master m ON m.dealer_code = o.parent_dealer_code""")
+def k19_enrich_orders(spark, d):
+    load(spark, d)
+    journeys = mapping.latest_snapshot(spark.sql(CTE["end_of_journey"]), "run_date").drop("run_date")
+    out = planning.enrich_orders(_orders(spark, d), journeys, spark.sql(CTE["dealer_master"]))
+    return out.select("service_level", "basis", "parent_dealer_code", "sku", *_r("order_max", digits=3), "recommend_end_of_journey", "area_office", "zone")
 
 
 @query("k20_dispatch_extract", """SELECT run_date, run_cycle_id, dealer, dispatch_id, coalesce(obl_cr_limit_avail >= 100000, false) AS fund_status FROM dispatch_runs

@@ -66,7 +66,7 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str, **more: str) -> str:
     """DuckDB text: the named views, further common table expressions, and the query."""
-    parts = [f"{n} AS ({VIEWS[n]})" for n in names] + [f"{n} AS ({q})" for n, q in more.items()]
+    parts = [f"{n} AS MATERIALIZED ({q})" for n, q in [*((n, VIEWS[n]) for n in names), *more.items()]]  # else one that is named twice is worked out twice
     own = sql.strip()
     if own.upper().startswith("WITH "):
         return f"WITH {', '.join(parts)}{', ' if parts else ''}{own[5:]}"
