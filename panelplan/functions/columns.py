@@ -113,6 +113,24 @@ def parse_series_key(df: DataFrame, key: str) -> DataFrame:
     })
 
 
+def key_part(key: Column, place: int) -> Column:
+    """Part of a `<>` key, from 0; null beyond its last."""
+    return F.get(F.split(key, "<>"), F.lit(place))
+
+
+def strip_quotes(text: Column) -> Column:
+    return F.trim(F.btrim(F.trim(text), F.lit('"')))
+
+
+def month_of_label(label: Column) -> Column:
+    """First day of a month written as `August - 2026`; null for other texts."""
+    return F.try_to_date(label, "MMMM - yyyy")
+
+
+def day_of(year: Column, month: Column, day: Column) -> Column:
+    return F.make_date(year, month, day)
+
+
 def festive_flag(columns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.col(f"`{c}`"), F.lit(0)) != 0 for c in columns])
 

@@ -41,6 +41,30 @@ def sku_share(df: DataFrame, digits: int | None = 5, strict: bool = False) -> Da
     return out.withColumn("share", F.bround(share, digits) if digits is not None else share)
 
 
+def active_totals(df: DataFrame) -> DataFrame:
+    """Sales of a family's active SKUs at a dealer (family_total) and of each SKU in its family (sku_total), on every row."""
+    family = Window.partitionBy("forecast_month", "parent_dealer_code", "model_family_code")
+    own = Window.partitionBy("forecast_month", "parent_dealer_code", "model_family_code", "sku")
+    return df.withColumns({"family_total": F.sum("sales").over(family), "sku_total": F.sum("sales").over(own)})
+
+
+def strict_weights(forecast: DataFrame, recent: DataFrame) -> DataFrame:
+    """The variant without an even split: SKUs that were sold share their family's forecast by sales, rounded to
+    whole units; families without sales in the look-back have no weight and no forecast."""
+    weights = sku_share(recent, None, strict=True).select("forecast_month", "parent_dealer_code", "model_family_code", "sku", "share", "no_history_flag")
+    out = forecast.join(weights, ["forecast_month", "parent_dealer_code", "model_family_code"], "left")
+    return out.withColumn("sku_forecast", F.when(~F.col("no_history_flag"), F.round(F.col("forecast") * F.col("share"), 0)))
+
+
+def sku_share_of_window(sales: DataFrame) -> DataFrame:
+    """Share of each SKU in its family's sales at a dealer over all months given; each SKU counts once."""
+    keys = ["parent_dealer_code", "model_family_code"]
+    own = sales.groupBy(*keys, "sku").agg(F.sum("net_sales").alias("sku_sales"))
+    w = Window.partitionBy(*keys)
+    out = own.withColumns({"family_sales": F.sum("sku_sales").over(w), "n_skus": F.count("*").over(w)})
+    return out.withColumn("share", F.try_divide("sku_sales", "family_sales"))
+
+
 def disaggregate(df: DataFrame, digits: int | None = 2) -> DataFrame:
     """sku_forecast: a single active SKU takes the whole forecast, else its share of it."""
     value = F.when(F.col("n_skus") == 1, F.col("forecast")).otherwise(F.col("share") * F.col("forecast"))

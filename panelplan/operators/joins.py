@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,7 +45,12 @@ def one_per_date(df: DataFrame, date: str, columns: list[str]) -> DataFrame:
 
 def index_to_date(df: DataFrame, reference: DataFrame, index: str, date: str) -> DataFrame:
     """Dates of index values, by the distinct pairs of a reference."""
-    return df.join(F.broadcast(reference.select(index, date).distinct()), index, "left")
+    return df.join(reference.select(index, date).distinct(), index, "left")
+
+
+def sorted_output(df: DataFrame, *order: Column | str) -> DataFrame:
+    """All rows in order, for delivery: a range shuffle, each partition sorted."""
+    return df.orderBy(*order)
 
 
 def top_n(df: DataFrame, column: str, n: int, tie: str) -> DataFrame:

@@ -11,7 +11,7 @@ from panelplan.functions.columns import is_active, net_sales
 def sku_master(sku: DataFrame, families: DataFrame) -> DataFrame:
     """The SKU source with model_family, and family codes made of it and what follows the first <>."""
     rest = F.expr("CASE WHEN locate('<>', uniquefamilycode) > 0 THEN substring(uniquefamilycode, locate('<>', uniquefamilycode) + 2) ELSE uniquefamilycode END")
-    out = sku.join(F.broadcast(families), "model", "left").withColumn("model_family_code", F.concat_ws("<>", "model_family", rest))
+    out = sku.join(families, "model", "left").withColumn("model_family_code", F.concat_ws("<>", "model_family", rest))
     return out.withColumn("sku_unique_family_code", F.concat_ws("<>", "sku", "model_family_code"))
 
 
@@ -58,7 +58,7 @@ def mapped_sales(retail: DataFrame, skus: DataFrame, obd: DataFrame, hierarchy:
         rows = with_family(rekey_sku(rows, following), skus)
     else:
         rows = rekey_sku(with_family(rows, skus), following)
-    rows = rows.join(F.broadcast(parent_dealer(hierarchy)), "dealer_code")
+    rows = rows.join(parent_dealer(hierarchy), "dealer_code")
     return rows.dropna(subset=["parent_dealer_code", "model_family", "sku"])
 
 

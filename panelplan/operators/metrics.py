@@ -89,8 +89,9 @@ def smape(df: DataFrame, actual: str = "actual", forecast: str = "forecast") ->
     return df.agg(F.avg(F.try_divide(F.abs(e) * 200, F.abs(actual) + F.abs(forecast))).alias("smape"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
-def mape_eps(df: DataFrame, actual: str = "actual", forecast: str = "forecast") -> DataFrame:
-    return df.agg(F.avg(F.abs(F.col(actual) - F.col(forecast)) / F.greatest(F.abs(actual), F.lit(EPS))).alias("mape"))
+def mape_eps(df: DataFrame, actual: str = "actual", forecast: str = "forecast", eps: float = EPS) -> DataFrame:
+    """Mean absolute error over the actual, whose size counts as eps at least."""
+    return df.agg(F.avg(F.abs(F.col(actual) - F.col(forecast)) / F.greatest(F.abs(actual), F.lit(eps))).alias("mape"))
 
 
 def daily_ape(df: DataFrame, date: str, actual: str = "actual", forecast: str = "forecast") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelplan.functions.columns import parse_series_key
+
 #: Standard normal quantiles of the service levels, and days of cover by ABC class.
 SERVICE_LEVELS = [(90, 1.28), (92, 1.41), (95, 1.65), (97, 1.88), (99, 2.33)]
 COVER_DAYS = {"A": 30, "B": 25, "C": 20}
@@ -83,7 +85,7 @@ def order_quantity(df: DataFrame) -> DataFrame:
 def stock_by_sku(stock: DataFrame, following: DataFrame, dealers: DataFrame, date: str) -> DataFrame:
     """Closing stock of a day by parent dealer and current SKU."""
     rows = stock.filter(F.col("cal_date") == F.lit(date).cast("date")).join(following, "sku", "left").withColumn("sku", F.coalesce("current_sku", "sku"))
-    return rows.join(F.broadcast(dealers), "dealer_code").groupBy("parent_dealer_code", "sku").agg(F.sum("closing_stock").alias("closing_stock"))
+    return rows.join(dealers, "dealer_code").groupBy("parent_dealer_code", "sku").agg(F.sum("closing_stock").alias("closing_stock"))
 
 
 def order_candidates(forecast: DataFrame, stock: DataFrame, lead: DataFrame) -> DataFrame:
@@ -112,10 +114,15 @@ def order_sweep(candidates: DataFrame, variability: DataFrame, spark, levels: li
 
 def enrich_orders(orders: DataFrame, end_of_journey: DataFrame, areas: DataFrame, dealer: str = "parent_dealer_code") -> DataFrame:
     """The end-of-journey flag of each SKU, and area office and zone of each dealer."""
-    return orders.join(end_of_journey, "sku", "left").join(F.broadcast(areas.withColumnRenamed("dealer_code", dealer)), dealer, "left")
+    return orders.join(end_of_journey, "sku", "left").join(areas.withColumnRenamed("dealer_code", dealer), dealer, "left")
+
+
+def stage_forecast(forecast: DataFrame, key: str, tags: dict[str, str]) -> DataFrame:
+    """A prediction table: the series key taken apart, and the tags of the run."""
+    return parse_series_key(forecast, key).withColumns({k: F.lit(v) for k, v in tags.items()})
 
 
 def weekly_to_monthly(weekly: DataFrame, dates: DataFrame) -> DataFrame:
     """Weekly forecasts (ts, series, forecast) by month of their regularised date; negative sums are 0, others are rounded half to even."""
-    rows = weekly.join(F.broadcast(dates.withColumnRenamed("date", "ts")), "ts").groupBy("series", "month_date").agg(F.sum("forecast").alias("__sum"))
+    rows = weekly.join(dates.withColumnRenamed("date", "ts"), "ts").groupBy("series", "month_date").agg(F.sum("forecast").alias("__sum"))
     return rows.select("series", "month_date", F.when(F.col("__sum") < 0, F.lit(0.0)).otherwise(F.bround("__sum", 0)).alias("forecast"))

@@ -34,8 +34,10 @@ def read_parts(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.parquet(pattern)
 
 
-def write_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).saveAsTable(name)
+def write_table(df: DataFrame, name: str, mode: str = "overwrite", path: str | None = None) -> None:
+    """Save as a catalog table; with a path, its files lie there instead of in the warehouse."""
+    writer = df.write.mode(mode)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def append_run(df: DataFrame, path: str, tags: RunTags) -> None:
@@ -54,9 +56,10 @@ def write_panel(df: DataFrame, path: str, by: str) -> None:
     df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def write_series_table(df: DataFrame, name: str, series: str, buckets: int) -> None:
+def write_series_table(df: DataFrame, name: str, series: str, buckets: int, path: str | None = None) -> None:
     """A table bucketed by series, which later joins and groupings on the series need not shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, series).sortBy(series).saveAsTable(name)
+    writer = df.write.mode("overwrite").bucketBy(buckets, series).sortBy(series)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def split_parts(df: DataFrame, key: str, per_file: int) -> DataFrame:
