@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelplan.sources.scratch import scratch_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
-
-    Where the session sets none (local tests), a temporary one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-            found = spark.sparkContext.getCheckpointDir()
-        base = found
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which all executors share; raises on a cluster that sets none."""
+    return scratch_dir(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -64,6 +54,13 @@ def min_component(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
-    """The first k rows of each key; Spark trims each partition to k before the shuffle."""
+def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank", spread: int = 1) -> DataFrame:
+    """The first k rows of each key; Spark trims each partition to k before the shuffle.
+
+    spread: for few keys, first the first k of each key in so many shares (by a hash of the order), then those
+    of the key; no task then sees more than k rows of every partition over `spread`, or spread times k."""
+    if spread > 1:
+        share = F.pmod(F.hash(*order, F.lit(17)), F.lit(spread))
+        inner = F.row_number().over(Window.partitionBy(*keys, "__share").orderBy(*order))
+        df = df.withColumn("__share", share).withColumn(rank, inner).filter(F.col(rank) <= k).drop("__share", rank)
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)

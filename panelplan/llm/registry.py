@@ -41,8 +41,9 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), as_text=False)
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=True)
+    removed = (F.col("n_bytes") - F.octet_length("kept_bytes")).alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("starts").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"), F.col("kept").alias("text"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,18 +209,45 @@ def passages(seed: int) -> list[bytes]:
     return [t.encode() for t in [*texts, "", "a" * 150, *texts[:3]]]
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT_CONTEXTS, 2])
+@pytest.mark.parametrize("part", [repeats.PART_BYTES, 300, 90])  # the smaller, the more groups are cut into classes
 @pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_equal_brute_force(spark, seed, hot):
+def test_repeats_equal_brute_force(spark, seed, part):
     texts = passages(seed)
     docs = spark.createDataFrame([(k // 2, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string").withColumn("copy", F.col("text"))
-    got = repeats.repeats_removed(docs, size=40, gram=16, part_bytes=300, hot=hot, as_text=False).collect()
+    got = repeats.repeats_removed(docs, size=40, gram=16, part_bytes=part, as_text=False).collect()
     want = Counter(zip((t.decode() for t in texts), removed_by_force(texts, 40), strict=True))
     assert Counter((r["copy"], bytes(r.kept)) for r in got) == want
     assert all(r.n_bytes - sum(e - s for s, e in zip(r.starts, r.ends, strict=True)) == len(r.kept) for r in got)
 
 
+def test_transform_equals_counting():
+    for seed in range(60):
+        rng = random.Random(seed)
+        letters = rng.choice(["ab", "abcdé", "\x00a\x01", "".join(map(chr, range(300)))])
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))).encode() for _ in range(rng.randrange(1, 12))]
+        texts += [*texts[:2], texts[0][3:] + texts[-1]]
+        seen = Counter(t[i : i + 13] for t in texts for i in range(len(t) - 12))
+        assert repeats.long_repeats(texts, 13).tolist() == [seen[t[i : i + 13]] > 1 for t in texts for i in range(len(t) + 1)]
+
+
+def test_a_passage_of_many_contexts_and_texts_over_a_tile(spark):
+    """A passage just under the length in every document, with other bytes around it, cut level after level; texts of several tiles."""
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common, long = make(39), make(3000)
+    texts = [make(rng.randrange(30)) + common + rng.choice("xyz") * (k % 3) + make(rng.randrange(30)) for k in range(150)] + [long, make(500) + long[700:2900] + make(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in repeats.repeats_removed(docs, size=40, gram=16, part_bytes=120).collect()}
+    assert [got[k].encode() for k in range(len(texts))] == removed_by_force([t.encode() for t in texts], 40)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    of_windows = [{w: p for p, a, b in zip(*(x.tolist() for x in repeats.anchors(data, ends - [len(t) for t in texts], ends, 40, 16, tile=tile)), strict=True) for w in range(a, b + 1)} for tile in (1 << 18, 64)]
+    assert of_windows[0] == of_windows[1] and len(of_windows[0]) == sum(max(0, len(t) - 39) for t in texts)
+
+
 def test_repeats_odd_rows(odd, empty):
+    both = repeats.repeats_removed(odd.withColumn("kept", F.lit(1)), with_bytes=True).collect()
+    assert len(both) == odd.count() and all(r.kept == r.kept_bytes.decode() for r in both)
     got = repeats.repeats_removed(odd)
     assert got.count() == odd.count() and {r.kept for r in got.filter("doc_id IN (7, 8)").collect()} == {""}
     assert repeats.repeats_removed(empty).count() == 0
