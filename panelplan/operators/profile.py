@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelplan.operators.ranking import with_running
+
 
 def series_profile(df: DataFrame, series: str, date: str, value: str) -> DataFrame:
     """Dates, counts, spread and sparsity of each series; outlier: maximum over five times the mean."""
@@ -49,10 +51,8 @@ def series_proportion(df: DataFrame, series: str, date: str, value: str, lo: str
     since = F.date_diff(high, F.col("first_sale")) + 1
     out = out.withColumns({"nonzero_share": F.col("nonzero_days") / days, "share_since_first": F.least(F.try_divide("nonzero_days", since), F.lit(1.0))})
     whole = out.agg(F.sum("total").alias("__whole"))
-    out = out.crossJoin(F.broadcast(whole)).withColumn("pct", F.try_divide(F.col("total") * 100, F.col("__whole"))).drop("__whole")
-    # a row per series: few enough for the one ordered partition that a running total over all of them needs
-    w = Window.orderBy(F.col("total").desc(), series)
-    return out.withColumns({"rank": F.row_number().over(w), "running_pct": F.sum("pct").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    out = out.crossJoin(F.broadcast(whole)).withColumn("pct", F.try_divide(F.col("total") * 100, F.col("__whole"))).drop("__whole")  # whole: one row
+    return with_running(out, [-F.col("total"), F.col(series)], "rank", {"running_pct": "pct"})
 
 
 def coverage(proportion: DataFrame, ns: list[int], pcts: list[float]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelplan.functions import columns as C
 from panelplan.operators import calendar, checks, disagg, forecast, joins, mapping, metrics, panel, planning, profile, reports, windows
+from panelplan.operators.ranking import with_running
 from panelplan.plans.views import VIEWS, load, source, view, with_views
 from panelplan.sources.scratch import staged
 
@@ -148,12 +149,10 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     totals = _panel(spark, d).groupBy("series").agg(F.sum("net_sales").alias("total"))
-    w = Window.orderBy(F.col("total").desc(), "series").rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum("total").over(w) * 100 / F.sum("total").over(Window.partitionBy())
-    return totals.select("series", F.when(running <= 70, "Runner").when(running <= 90, "Repeater").otherwise("Stranger").alias("sku_type"))
+    ranked = with_running(totals, [-F.col("total"), F.col("series")], sums={"sold": "total"})
+    running = F.col("sold") * 100 / F.col("whole")
+    return ranked.crossJoin(F.broadcast(ranked.agg(F.sum("total").alias("whole")))).select("series", F.when(running <= 70, "Runner").when(running <= 90, "Repeater").otherwise("Stranger").alias("sku_type"))
 
 
 def _r(*names: str, digits: int = 4) -> list:

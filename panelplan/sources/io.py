@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelplan.operators.ranking import with_running
 from panelplan.spec import RunTags
 
 
@@ -63,9 +64,9 @@ def write_series_table(df: DataFrame, name: str, series: str, buckets: int, path
 
 
 def split_parts(df: DataFrame, key: str, per_file: int) -> DataFrame:
-    """Add `part`: per_file keys to a part, in the order of the key. Only the distinct keys are ranked."""
-    keys = df.select(key).distinct().withColumn("part", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / per_file).cast("int"))
-    return df.join(keys, key)
+    """Add `part`: per_file keys to a part, in the order of the key. Only the distinct keys are ranked; rows without a key are left out."""
+    keys = with_running(df.select(key).filter(F.col(key).isNotNull()).distinct(), [F.col(key)], "__place")
+    return df.join(keys.select(key, F.floor((F.col("__place") - 1) / per_file).cast("int").alias("part")), key)
 
 
 def write_split(df: DataFrame, path: str, key: str, per_file: int) -> None:

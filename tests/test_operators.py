@@ -237,3 +237,70 @@ def test_forecaster_beats_the_seasonal_baseline_on_a_trend(spark):
     out = forecast.backtest(samples, model, "2021-01-01").filter("target IS NOT NULL")
     mae = out.agg(F.avg(F.abs(F.col("forecast") - F.col("target"))), F.avg(F.abs(F.col("season_lag") - F.col("target")))).first()
     assert mae[0] < 0.3 * mae[1] and out.filter("p10 > p90").count() == 0
+
+
+def test_ranks_and_running_totals_over_ranges(spark):
+    import random
+
+    from panelplan.operators.ranking import with_running
+
+    rng = random.Random(1)
+    data = [(f"s{k}", float(rng.choice([0, 0, 0, 5, rng.randrange(100)]))) for k in range(500)]
+    df = spark.createDataFrame(data, "series string, total double")
+    got = {r.series: (r["rank"], r.running) for r in with_running(df, [-F.col("total"), F.col("series")], "rank", {"running": "total"}).collect()}
+    total = 0.0
+    for k, (series, value) in enumerate(sorted(data, key=lambda x: (-x[1], x[0]))):
+        total += value
+        assert got[series] == (k + 1, total)
+    assert with_running(df.filter("false"), [F.col("series")], "rank").count() == 0
+
+
+def test_strict_weights_have_no_even_split(spark):
+    fc = spark.createDataFrame([(date(2020, 4, 1), "d", f, 10.0) for f in ("sold", "unsold", "unknown")], "forecast_month date, parent_dealer_code string, model_family_code string, forecast double")
+    recent = spark.createDataFrame([(date(2020, 4, 1), "d", "sold", "a", 3.0), (date(2020, 4, 1), "d", "sold", "b", 1.0), (date(2020, 4, 1), "d", "unsold", "c", 0.0)], "forecast_month date, parent_dealer_code string, model_family_code string, sku string, sales double")
+    got = {(r.model_family_code, r.sku): (r.share, r.sku_forecast) for r in disagg.strict_weights(fc, recent).collect()}
+    assert got == {("sold", "a"): (0.75, 8.0), ("sold", "b"): (0.25, 3.0), ("unsold", "c"): (None, None), ("unknown", None): (None, None)}
+
+
+def test_run_window_and_weekly_forecasts(spark):
+    sales = spark.createDataFrame([(date(2020, m, 1), float(m)) for m in range(1, 13)], "month_of_sale date, net_sales double")
+    run = spark.createDataFrame([(date(2020, 7, 15),)], "run_month date")
+    assert sorted(r.net_sales for r in planning.run_window(sales, run, 3).collect()) == [4.0, 5.0, 6.0]
+    weekly = spark.createDataFrame([(date(2020, 1, 6), "s", 1.25), (date(2020, 1, 13), "s", 1.25), (date(2020, 1, 6), "t", -3.0), (date(2020, 9, 1), "t", 5.0)], "ts date, series string, forecast double")
+    dates = spark.createDataFrame([(date(2020, 1, d), date(2020, 1, 1)) for d in (6, 13)], "date date, month_date date")
+    assert sorted(rows(planning.weekly_to_monthly(weekly, dates))) == [("s", date(2020, 1, 1), 2.0), ("t", date(2020, 1, 1), 0.0)]
+
+
+def test_forecaster_is_least_squares(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2))
+    y = 3 + x @ [2.0, -1.0] + rng.normal(size=60) * 0.1
+    df = spark.createDataFrame([("s", 1, float(a), float(b), float(t)) for (a, b), t in zip(x, y, strict=True)], "series string, step int, f1 double, f2 double, target double")
+    model = forecast.PanelForecaster("series", ["f1", "f2"]).fit(df)
+    want = np.linalg.lstsq(np.column_stack([np.ones(60), x]), y, rcond=None)[0]
+    assert np.allclose([model.model.intercept, *model.model.coefficients], want, atol=1e-6)
+    got = model.predict(df).collect()
+    fitted = {(r.f1, r.f2): r.forecast for r in got}
+    assert all(abs(fitted[tuple(map(float, a))] - max(0.0, v)) < 1e-6 for a, v in zip(x, np.column_stack([np.ones(60), x]) @ want, strict=True))
+    assert all(r.p10 <= r.p50 <= r.p90 for r in got)
+
+
+def test_steps_beyond_the_last_row_have_no_target(spark):
+    p = spark.createDataFrame([("s", date(2020, m, 1), float(m), m) for m in range(1, 6)], "series string, month_of_sale date, net_sales double, month int")
+    origins = spark.createDataFrame([(date(2020, 4, 1),)], "origin date")
+    got = {r.step: r for r in forecast.make_samples(p, "series", "month_of_sale", "net_sales", origins, 3, lags=(1, 2), window=3, future=("month",), season=3).collect()}
+    assert (got[1].target, got[1].target_date, got[1].month, got[1].lag_1, got[1].lag_2, got[1].win_mean, got[1].season_lag) == (5.0, date(2020, 5, 1), 5, 4.0, 3.0, 3.0, 2.0)
+    assert [got[s].target for s in (2, 3)] == [None, None] and [got[s].season_lag for s in (2, 3)] == [3.0, 4.0]
+
+
+def test_entry_without_the_training_data_operators():
+    """A missing dependency of theirs leaves the other queries in place."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['panelplan.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'j2_fill_gaps' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
