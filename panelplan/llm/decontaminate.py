@@ -6,28 +6,35 @@ m - BLOCK_WORDS + 1 words) and buckets (last block -> patterns); what a bucket o
 word by word. Windows have 13 words, so one table serves all but items shorter than that, which
 have a table for each length.
 
-Patterns are dealt into shards of at most SHARD_WORDS words; documents pass through one shard after
-another, so that a worker holds one table of bounded size at a time, however large the benchmark.
+Items are dealt into shards of at most SHARD_WINDOWS windows by Spark tasks, which write each shard to a
+file in the shared folder; a search is a pass of the documents over one shard, and passes over several
+shards are written one after another. A worker thus holds one table of bounded size at a time, however
+large the benchmark, and no item goes through the driver.
 
-Rows: a null text has no words; an item without words has no window; equal windows of several
-items count for each; repeated item ids count once; repeated documents are kept."""
+Rows: a null text has no words; an item without words has no window; items with a null id or text are
+left out; equal windows of several items count for each; repeated item ids count once; repeated
+documents and those with a null id are kept. Texts are searched whole, however long. Without documents
+there are no rows, without items no hits. Columns of the same names as the result's are not carried over."""
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import pickle
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelplan.llm.common import shared_dir, written
+from panelplan.llm.files import new_file, random_access
+from panelplan.llm.memory import slices, tidy
+
 WINDOW = 13
 BLOCK_WORDS = 3
-SHARD_WORDS = 4_000_000
+SHARD_WINDOWS = 200_000
 #: Bytes that separate words, after A-Z are lowered: all ASCII but 0-9 and a-z. As text, for SQL and tests.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TO_SPACE = bytes(c if chr(c).isdigit() or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(128)) + bytes(range(128, 256))
@@ -68,25 +75,26 @@ class WuManber:
             at += 1
 
 
-def _windows(item_words: list[bytes], window: int) -> set[tuple[bytes, ...]]:
-    if not item_words:
-        return set()
-    k = min(window, len(item_words))
-    return {tuple(item_words[i : i + k]) for i in range(len(item_words) - k + 1)}
-
-
 class _Shard:
-    """Searchers by pattern length, built once in a worker; known by the hash of their content."""
+    """Searchers by pattern length over some items' words, built once in a worker; known by its file, whose name is its own."""
 
     built: dict[str, _Shard] = {}
 
-    def __init__(self, items: list[tuple[str, list[tuple[bytes, ...]]]]):
+    def __init__(self, items: list[tuple[str, int, list[bytes]]]):
         by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-        for item, patterns in items:
-            for p in patterns:
-                by_length[len(p)][p].append(item)
+        for item, k, words in items:
+            for at in range(len(words) - k + 1):
+                by_length[k][tuple(words[at : at + k])].append(item)
         self.searchers = [WuManber(p, m) for m, p in by_length.items()]
 
+    @classmethod
+    def of(cls, path: str | None) -> _Shard:
+        if path not in cls.built:
+            cls.built.clear()
+            with random_access(path) if path else contextlib.nullcontext() as file:
+                cls.built[path] = cls(pickle.loads(file.read()) if path else [])
+        return cls.built[path]
+
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         spans, items = [], set()
         for s in self.searchers:
@@ -96,6 +104,35 @@ class _Shard:
         return spans, items
 
 
+def _pack(folder: str, window: int, limit: int):
+    """Items into shard files; (path, n_windows) of each. The windows of a long item may go to several."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, done = [], 0, []
+
+        def write() -> None:
+            with new_file(folder, "shard", ".pickle") as (path, out):
+                out.write(pickle.dumps(held))
+            done.append((path, size))
+
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                words = words_of(text.as_py())
+                k = min(window, len(words))
+                for at in range(0, len(words) - k + 1 if words else 0, limit):
+                    part = words[at : at + limit + k - 1]
+                    if held and size + len(part) - k + 1 > limit:
+                        write()
+                        held, size = [], 0
+                    held.append((item, k, part))
+                    size += len(part) - k + 1
+        if held:
+            write()
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "n_windows"])
+
+    return tidy(over)
+
+
 def _covered(starts: list[int], ends: list[int]) -> int:
     total, reach = 0, 0
     for s, e in sorted(zip(starts, ends, strict=True)):
@@ -104,72 +141,58 @@ def _covered(starts: list[int], ends: list[int]) -> int:
     return total
 
 
-def _scan(name: str, broadcast):
+_FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>"
+
+
+def _scan(path: str | None, last: bool, keep_text: bool):
+    """One pass over a shard. Between passes rows carry the spans and items found so far; the last one counts them."""
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _Shard.built:
-            _Shard.built.clear()
-            _Shard.built[name] = _Shard(pickle.loads(broadcast.value))
-        shard = _Shard.built[name]
-        for batch in batches:
+        shard = _Shard.of(path)
+        for batch in (part for whole in batches for part in slices(whole)):
+            before = [batch.column(c).to_pylist() for c in ("starts", "ends", "items")] if "starts" in batch.schema.names else [[[]] * batch.num_rows] * 3
             n_words, starts, ends, items = [], [], [], []
-            for text, s0, e0, i0 in zip(batch.column("text").cast(pa.binary()), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            for text, s0, e0, i0 in zip(batch.column("text").cast(pa.binary()), *before, strict=True):
                 words = words_of(text.as_py())
                 spans, found = shard.search(words)
                 n_words.append(len(words))
                 starts.append(s0 + [s for s, _ in spans])
                 ends.append(e0 + [e for _, e in spans])
                 items.append(sorted(found.union(i0)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                ["id", "text", "n_words", "starts", "ends", "items"],
-            )
-
-    return over
-
-
-def _finish(keep_text: bool):
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [_covered(s, e) for s, e in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
-            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in batch.column("items").to_pylist()]
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n_words"), pa.array(hits, pa.int64()), batch.column("items"), pa.array(digests, pa.string())],
-                ["id", "n_words", "n_hit", "items", "items_sha256"],
-            )
-            yield out.append_column("text", batch.column("text")) if keep_text else out
-
-    return over
-
-
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, limit: int) -> Iterator[list]:
-    """The items' windows in lists of at most about `limit` words, read from Spark a partition at a time."""
-    shard, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null").orderBy("item")
-    for row in rows.toLocalIterator():
-        patterns = sorted(_windows(words_of(row["text"].encode()), window))
-        for at in range(0, len(patterns), max(1, limit // window)):
-            part = patterns[at : at + max(1, limit // window)]
-            if shard and size + len(part) * window > limit:
-                yield shard
-                shard, size = [], 0
-            shard.append((row["item"], part))
-            size += len(part) * window
-    yield shard
-
-
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, keep_text: bool = False) -> DataFrame:
+            columns = {"id": batch.column("id"), "n_words": pa.array(n_words, pa.int64())}
+            if last:
+                columns["n_hit"] = pa.array([_covered(s, e) for s, e in zip(starts, ends, strict=True)], pa.int64())
+                columns["items"] = pa.array(items, pa.list_(pa.string()))
+                columns["items_sha256"] = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string())
+            else:
+                columns |= {"starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
+            if keep_text or not last:
+                columns["text"] = batch.column("text")
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return tidy(over)
+
+
+def shard_files(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, limit: int = SHARD_WINDOWS) -> list[str]:
+    """The files of a benchmark's shards, written by Spark tasks; the driver gets their names only."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // (8 * limit)))  # a word and what separates it take 8 bytes or less in most texts; tasks cut at the limit anyway
+    files = rows.repartition(parts, F.xxhash64("item", "text")).mapInArrow(_pack(shared_dir(benchmark.sparkSession, "shards"), window, limit), "path string, n_windows long")
+    return sorted(r["path"] for r in files.collect())  # a row per shard
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_windows: int = SHARD_WINDOWS, keep_text: bool = False) -> DataFrame:
     """(id_col, n_words, n_hit, n_items, items, items_sha256, contaminated), and text with keep_text, for each document.
 
     n_hit: words inside any occurrence of a window; items: sorted ids whose windows occur;
     contaminated: n_hit > 0 and 20 * n_hit >= n_words."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("items"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    for shard in _shards(benchmark, item_col, item_text_col, window, shard_words):
-        packed = pickle.dumps(shard)
-        held = spark.sparkContext.broadcast(packed)  # of shard_words words at most
-        rows = rows.mapInArrow(_scan(hashlib.sha256(packed).hexdigest(), held), f"id {id_type}, text string, n_words long, starts array<int>, ends array<int>, items array<string>")
-    found = rows.mapInArrow(_finish(keep_text), f"id {id_type}, n_words long, n_hit long, items array<string>, items_sha256 string{', text string' * keep_text}")
+    paths = shard_files(benchmark, item_col, item_text_col, window, shard_windows) or [None]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    for path in paths[:-1]:
+        rows = written(rows.mapInArrow(_scan(path, False, True), f"id {kind}, {_FOUND}, text string"), "searched")
+    found = rows.mapInArrow(_scan(paths[-1], True, keep_text), f"id {kind}, n_words long, n_hit long, items array<string>, items_sha256 string{', text string' * keep_text}")
     return found.select(
         F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "items_sha256",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"), *["text"] * keep_text,
