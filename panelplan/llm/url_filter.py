@@ -1,6 +1,14 @@
 """URL filter: host and path rules, and logistic regression on hashed character n-grams.
 
-Everything is column expressions and DataFrame jobs; no Python runs on the executors."""
+Everything is column expressions and DataFrame jobs; no Python runs on the executors. The model is
+fitted to a small labelled table of URLs; where the caller has none, the pages that a rule decides are
+that table, so that the verdict on other pages carries on what the rules say of hosts and paths like theirs.
+
+Rows: null URLs, and those without ://, have empty host and path and get the model's verdict on them;
+URLs of any length are taken whole; repeated rows are judged each, and count once in the labelled
+table, as does each pair of URL and label; null labels are left out; null page ids are kept. Without
+labels of both kinds every verdict that no rule gives is that of the only kind (none: allow). Tables
+without rows give none."""
 
 from __future__ import annotations
 
@@ -8,16 +16,18 @@ import json
 import string
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelplan.llm.common import top_k
+
 #: (verdict, host, path prefix); a fixed list given by the caller, not one that grows with the data.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BUCKETS = 2048
 GRAMS = (3, 4)
-#: At most so many labelled URLs are fitted on: those whose hash is smallest.
-TRAIN_ROWS = 4000
+#: At most so many labelled URLs of each label are fitted on: those whose hash is smallest.
+TRAIN_ROWS = 2000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -45,29 +55,27 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 def hashed_grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     """Bucket numbers of all character n-grams of host and path, repeats included."""
     text = F.concat(F.lit("^"), host, F.lit(" "), path, F.lit("$"))
-    parts = [
-        F.when(
-            F.length(text) >= n,
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i, n=n: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(buckets)).cast("int")),
-        ).otherwise(F.array().cast("array<int>"))
-        for n in GRAMS
-    ]
-    return F.concat(*parts)
+
+    def of_length(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        found = F.transform(places, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(buckets)).cast("int"))  # a second parameter would be the index
+        return F.when(F.length(text) >= n, found).otherwise(F.array().cast("array<int>"))
+
+    return F.concat(*[of_length(n) for n in GRAMS])
 
 
 def fit_url_model(labelled: DataFrame, buckets: int = BUCKETS, rows: int = TRAIN_ROWS) -> tuple[list[float], float]:
     """Weights and intercept from labelled URLs (url, label: 1 block, 0 allow).
 
-    Fits on the `rows` distinct (url, label) pairs with the smallest hash. Without two classes, the
-    weights are zero and the intercept's sign is that of the only class (none: allow)."""
+    Fits on the `rows` distinct URLs of each label with the smallest hash, so that a label with few URLs
+    is there beside one with very many. Without two classes, the weights are zero and the intercept's
+    sign is that of the only class (none: allow)."""
     host, path = url_parts(F.col("url"))
-    sample = (
-        labelled.filter("url is not null and label is not null").select("url", F.col("label").cast("double").alias("label")).distinct()
-        .orderBy(F.xxhash64("url"), "url", "label").limit(rows)
-    )
-    grams = sample.withColumn("grams", F.array_distinct(hashed_grams(host, path, buckets))).select("label", "grams").persist()
-    dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.array_contains(F.col("grams"), b.cast("int")).cast("double"))
-    train = grams.select("label", array_to_vector(dense).alias("features")).persist()  # of rows x buckets at most
+    known = labelled.filter("url is not null and label is not null").select("url", F.col("label").cast("double").alias("label")).distinct()
+    sample = top_k(known, ["label"], [F.xxhash64("url"), F.col("url")], rows, "place", spread=32)
+    words = F.transform(F.array_distinct(hashed_grams(host, path, buckets)), lambda b: b.cast("string"))
+    as_vectors = CountVectorizerModel.from_vocabulary([str(b) for b in range(buckets)], inputCol="words", outputCol="features").setBinary(True)  # bucket b is feature b
+    train = as_vectors.transform(sample.select("label", words.alias("words"))).select("label", "features").persist()  # sparse, 2 x rows at most
     try:
         seen = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two classes at most
         if len(seen) < 2:
@@ -78,7 +86,6 @@ def fit_url_model(labelled: DataFrame, buckets: int = BUCKETS, rows: int = TRAIN
         return [float(x) for x in model.coefficients], float(model.intercept)
     finally:
         train.unpersist()
-        grams.unpersist()
 
 
 def block_probability(host: Column, path: Column, weights: list[float], intercept: float) -> Column:
