@@ -7,7 +7,10 @@ that an earlier merge has outdated are dropped when their rank comes up. Words a
 kept for the partition, so that each distinct word is merged once.
 
 Special tokens' strings in a text become their ids, as the tokenizers library does by default.
-Null texts are empty: no ids, decoded to the empty text."""
+
+Rows: null texts are empty: no ids, decoded to the empty text; repeated rows and null ids are rows like
+any other; very long texts are encoded whole (their words are taken one after another, the ids in one
+array); tables without rows give none. Columns that the result adds replace those of the same names."""
 
 from __future__ import annotations
 
@@ -25,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelplan.llm.memory import Lists, slices, tidy
+
 #: Fixed value: the byte-level pre-tokenizer's split pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same split for Latin-1 texts without the characters that Python's classes sort otherwise (x1C-x1F, superscripts, fractions).
@@ -32,7 +37,7 @@ _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _LATIN = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _NOT_LATIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")
 #: The word table is emptied beyond so many words, and when a partition ends; ids do not depend on it.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -137,23 +142,18 @@ class BpeEncoder:
         self.model = model
         self.split = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(model.special, key=len, reverse=True)))) if model.special else None
+        self.marks = sorted({t[0] for t in model.special})  # a text without any of these letters holds no special token
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = defaultdict(count().__next__)
-        self.flat, self.start, self.size, self.known = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0
+        self.ids = Lists()
         for token, i in self.model.special.items():
             self.place[f"\0{token}"]  # cannot be met as a word: the mark is followed by other classes
-            self._append(np.array([i]), np.array([1]))
-
-    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.size = np.concatenate((self.size, sizes))
-        self.flat = np.concatenate((self.flat, ids))
-        self.known += len(sizes)
+            self.ids.append(np.array([i]), np.array([1]))
 
     def _words(self, text: str) -> Iterable[str]:
-        if self.specials and "<" in text and self.specials.search(text):
+        if any(m in text for m in self.marks) and self.specials.search(text):
             return self._around_specials(text)
         split = self.split if _NOT_LATIN.search(text) else _LATIN
         if len(text) < 1 << 22:
@@ -169,19 +169,14 @@ class BpeEncoder:
         yield from self.split.findall(text[at:])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if self.known > KEPT_WORDS:
+        if len(self.ids) > KEPT_WORDS:
             self._forget()
         place = self.place.__getitem__
         rows = [np.fromiter(map(place, self._words(t or "")), np.int64) for t in texts]
-        if len(self.place) > self.known:
-            new = list(self.place)[self.known :]
-            self._append(*self.model.encode_words([w.encode() for w in new]))
-        out = []
-        for row in rows:
-            sizes = self.size[row]
-            ends = np.cumsum(sizes)
-            out.append(self.flat[np.repeat(self.start[row] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32))
-        return out
+        if len(self.place) > len(self.ids):
+            new = list(self.place)[len(self.ids) :]
+            self.ids.append(*self.model.encode_words([w.encode() for w in new]))
+        return [self.ids.take(row).astype(np.int32) for row in rows]
 
 
 _ENCODERS: dict[str, BpeEncoder] = {}
@@ -202,10 +197,8 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 def encoded(batches: Iterator[pa.RecordBatch], held, slice_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Add a column `ids` to batches with a column `text`."""
     encoder = _encoder(held)
-    for batch in batches:
-        for at in range(0, batch.num_rows, slice_rows):
-            part = batch.slice(at, slice_rows)
-            yield part.append_column("ids", _lists(encoder.encode(part.column("text").to_pylist())))
+    for part in (part for batch in batches for part in slices(batch, rows=slice_rows, size=4 << 20)):
+        yield part.append_column("ids", _lists(encoder.encode(part.column("text").to_pylist())))
     encoder._forget()  # the worker may serve other stages next
 
 
@@ -245,7 +238,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", out_col: str =
     held, names = _broadcast(df, path), [c for c in df.columns if c != out_col]
     rows = df.select(F.col(text_col).alias("text"), F.struct(*names).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
-    done = rows.mapInArrow(lambda it: (b.select(["row", "ids"]) for b in encoded(it, held)), f"row {kind}, ids array<int>")
+    done = rows.mapInArrow(tidy(lambda it: (b.select(["row", "ids"]) for b in encoded(it, held))), f"row {kind}, ids array<int>")
     return done.select("row.*", F.col("ids").alias(out_col))
 
 
@@ -254,7 +247,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "t
     held, names = _broadcast(df, path), [c for c in df.columns if c != out_col]
     rows = df.select(F.col(ids_col).cast("array<int>").alias("ids"), F.struct(*names).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
-    done = rows.mapInArrow(lambda it: (b.select(["row", "decoded"]) for b in decoded(it, held)), f"row {kind}, decoded string")
+    done = rows.mapInArrow(tidy(lambda it: (b.select(["row", "decoded"]) for b in decoded(it, held))), f"row {kind}, decoded string")
     return done.select("row.*", F.col("decoded").alias(out_col))
 
 
@@ -269,7 +262,7 @@ def bpe_encode_checked(df: DataFrame, path: str, text_col: str = "text") -> Data
     held, names = _broadcast(df, path), [c for c in df.columns if c not in ("ids", "lossless", text_col)]
     rows = df.select(F.col(text_col).alias("text"), F.struct(*names).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _checked(it, held), f"row {kind}, ids array<int>, lossless boolean").select("row.*", "ids", "lossless")
+    return rows.mapInArrow(tidy(lambda it: _checked(it, held)), f"row {kind}, ids array<int>, lossless boolean").select("row.*", "ids", "lossless")
 
 
 def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,5 +270,5 @@ def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     held = _broadcast(df, path)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    done = rows.mapInArrow(lambda it: _digests(decoded(encoded(it, held), held)), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    done = rows.mapInArrow(tidy(lambda it: _digests(decoded(encoded(it, held), held))), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return done.withColumnRenamed("id", id_col)

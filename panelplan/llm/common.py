@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelplan.sources.scratch import scratch_dir
+from panelplan.sources.scratch import scratch_dir, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write a DataFrame to the shared folder and read it back: lineage ends there, and the shuffles behind it go."""
+    return staged(df, name)
 
 
 def min_component(edges: DataFrame) -> DataFrame:

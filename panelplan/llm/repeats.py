@@ -5,12 +5,13 @@
    windows with the same anchor. Neighbouring windows with one anchor form a context: the bytes from
    the first window's begin to the last one's end. Each window is in exactly one context.
 2. Contexts are grouped by their anchor; a group of one context that occurs once has nothing to be
-   compared with. Of all others each distinct context is laid out, twice if it occurs more than once.
+   compared with. Of all others each distinct context is laid out, with how often it occurs.
 3. Groups are dealt by anchor. A task lays out as many as fit PART_BYTES, sorts their suffixes into a
    Burrows-Wheeler transform, and expands intervals breadth first: prepending a byte to all strings of
    length l gives the intervals of length l + 1, and each boundary met for the first time has common
    prefix l. It stops at MIN_BYTES: boundaries never met lie between suffixes that share at least that
-   much, so both begin a repeated string.
+   much, so both begin a repeated string. Copies of a context are one row each in the transform, which
+   counts as several suffixes.
 4. A group that is larger than PART_BYTES is dealt again by what stands beside the anchor: its windows
    are cut into classes by how many bytes they have left of the anchor, and the bytes that all windows
    of a class hold are the key of a smaller group. Classes get narrower from level to level; at the
@@ -235,11 +236,15 @@ def suffix_order(byte: np.ndarray, marks: np.ndarray, least: int) -> np.ndarray:
         length *= 2
 
 
-def long_repeats(texts: list[bytes], size: int) -> np.ndarray:
+def long_repeats(texts: list[bytes], size: int, times: list[int] | None = None) -> np.ndarray:
     """Which positions of the texts, laid end to end with a mark behind each, begin a string of `size`
-    bytes that also begins at another position."""
+    bytes that also begins at another position.
+
+    times: how often each text is there. Suffixes of its copies are neighbours in the transform and stay so
+    whatever is prepended, so one row stands for all of them, as far as they reach before their marks."""
     m = len(texts)
-    marks = np.cumsum([len(t) + 1 for t in texts]) - 1
+    lengths = np.array([len(t) + 1 for t in texts])
+    marks = np.cumsum(lengths) - 1
     byte = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     n = len(byte)
     if n >> _PLACE:
@@ -258,8 +263,10 @@ def long_repeats(texts: list[bytes], size: int) -> np.ndarray:
     next_seen[by_symbol[:-1][same]] = by_symbol[1:][same]
     met = np.zeros(n + 1, bool)
     met[0] = met[n] = True
-    low, high = np.array([0], np.int32), np.array([n - 1], np.int32)
+    low, high, single = np.array([0], np.int32), np.array([n - 1], np.int32), np.empty(0, np.int32)
     for _ in range(size):  # common prefixes of 0, 1, ... size - 1
+        single = to[single]  # an interval of one row has one image
+        single = single[~met[single + 1]]
         wide = high - low + 1
         before = (low - np.cumsum(wide) + wide).astype(np.int32)
         row = np.arange(int(wide.sum()), dtype=np.int32) + np.repeat(before, wide)
@@ -269,9 +276,16 @@ def long_repeats(texts: list[bytes], size: int) -> np.ndarray:
         new = ~met[high + 1]
         low, high = low[new], high[new]
         met[high + 1] = True
-        if not len(low):
+        met[single + 1] = True
+        one = low == high
+        single = np.concatenate((single, low[one]))
+        low, high = low[~one], high[~one]
+        if not len(low) and not len(single):
             break
     shared = ~met[:-1] | ~met[1:]
+    if times is not None:  # intervals of one row that stands for several suffixes
+        left = np.repeat(marks, lengths) - np.arange(n)
+        shared |= (np.repeat(np.array(times) > 1, lengths) & (left >= size))[order]
     out = np.zeros(n, bool)
     out[order[shared]] = True
     return out
@@ -281,15 +295,12 @@ def _repeated_runs(size: int, part_bytes: int):
     """From rows (g, s, n, data) in the order of g and s: the repeated run (lo, hi) of each s that has one."""
 
     def of(rows: list[tuple[int, bytes, int, bytes]]) -> pa.RecordBatch:
-        owner = np.repeat(np.arange(len(rows)), [min(r[2], 2) for r in rows])
-        lengths = np.array([len(rows[k][3]) + 1 for k in owner])
-        starts = np.cumsum(lengths) - lengths
-        at = np.flatnonzero(long_repeats([rows[k][3] for k in owner], size))
-        text = np.searchsorted(starts, at, side="right") - 1
-        which, first = np.unique(owner[text], return_index=True)  # of a row laid twice, its first text
-        of_first = text == np.searchsorted(owner, owner[text])
-        last = np.searchsorted(owner[text[of_first]], which, side="right") - 1
-        lo, hi = at[first] - starts[text[first]], at[of_first][last] - starts[text[first]] + size
+        starts = np.cumsum([0] + [len(r[3]) + 1 for r in rows[:-1]])
+        at = np.flatnonzero(long_repeats([r[3] for r in rows], size, [r[2] for r in rows]))
+        owner = np.searchsorted(starts, at, side="right") - 1
+        which, first = np.unique(owner, return_index=True)
+        last = np.append(first[1:], len(at)) - 1 if len(which) else first
+        lo, hi = at[first] - starts[which], at[last] - starts[which] + size
         return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in which], pa.int64()), pa.array([rows[k][1] for k in which], pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["g", "s", "lo", "hi"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +314,7 @@ def _repeated_runs(size: int, part_bytes: int):
                     yield of(held)
                     held, total = [], 0
                 held.append((g, s, n, data))
-                total += (len(data) + 1) * min(n, 2)
+                total += len(data) + 1
         if held:
             yield of(held)
 
@@ -339,8 +350,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = _keyed(docs, id_col, text_col).select("id", "th", "text")
     found = written(keyed.mapInArrow(_anchor_rows(size, gram), "id long, th long, a int, more int, at int, kh long, ctx binary"), "anchors")
     contexts = written(found.groupBy("kh", "ctx").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), F.min(F.struct("id", "th", "a", "more", "at")).alias("w")), "contexts")
-    laid = (F.col("w.more") + size + 1) * F.col("n")
-    groups = contexts.groupBy("kh").agg(F.sum("n").alias("total"), F.sum(laid).alias("bytes")).filter("total > 1")
+    groups = contexts.groupBy("kh").agg(F.sum("n").alias("total"), F.sum(F.col("w.more") + size + 1).alias("bytes")).filter("total > 1")
     wide = written(groups.filter(F.col("bytes") > part_bytes).select("kh"), "wide-groups")
 
     def bodies(chosen: DataFrame, width: int | None, schema: str) -> DataFrame:
@@ -355,7 +365,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for width in widths(size, gram):
             pieces = written(pieces, "pieces")
             sizes = pieces.groupBy("g", "s").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.max(F.octet_length("data")).alias("length"))
-            groups = written(sizes.groupBy("g").agg(F.sum("n").alias("total"), F.sum((F.col("length") + 1) * F.col("n")).alias("bytes")).filter("total > 1"), "piece-groups")
+            groups = written(sizes.groupBy("g").agg(F.sum("n").alias("total"), F.sum(F.col("length") + 1).alias("bytes")).filter("total > 1"), "piece-groups")
             fits = F.col("bytes") <= part_bytes if width > 1 else F.lit(True)  # the last groups hold one string each
             distinct = pieces.join(groups.filter(fits).select("g"), "g", "left_semi").groupBy("g", "s").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.first("data").alias("data"))
             runs = _compared(distinct, size, part_bytes).withColumnsRenamed({"lo": "from", "hi": "to"})

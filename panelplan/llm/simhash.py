@@ -14,7 +14,8 @@ blocks, and each emits a spanning forest of its links, never all pairs.
 
 Rows: null texts and texts without words have fingerprint 0 and are linked like any other; rows
 with a null id have no part in links and are their own component (null where no other row has
-their fingerprint); repeated rows are kept."""
+their fingerprint); repeated rows are kept. Very long texts are hashed whole, in runs of shingles;
+tables without rows give none. Columns of the same names as the result's are not carried over."""
 
 from __future__ import annotations
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelplan.llm.common import min_component, written
+from panelplan.llm.memory import slices, tidy
 
 BLOCK = 16384
 BITS = 4
@@ -53,11 +55,11 @@ def simhash(text: bytes | None, words: int = 4) -> int:
 
 def _fingerprints(words: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, rows=10_000)):
             texts = batch.column(1).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([simhash(t.as_py(), words) for t in texts], pa.int64())], ["id", "fp"])
 
-    return over
+    return tidy(over)
 
 
 def position_triples() -> list[tuple[int, ...]]:

@@ -9,7 +9,8 @@ Documents are dealt by ranges of their ids, one range to a file, so files in tur
 ascending order; within a range Spark sorts them. A manifest has one row per file.
 
 Rows: null texts are empty (just the end id); null document ids come first; repeated ids are kept,
-in the order of their tokens."""
+in the order of their tokens; a very long text is a row of one file, written in batches; tables without
+rows have no files and give no rows. Other columns of docs are left out, so their names do not matter."""
 
 from __future__ import annotations
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from panelplan.llm.bpe import byte_letters
 from panelplan.llm.common import shared_dir, written
 from panelplan.llm.files import new_file, random_access
+from panelplan.llm.memory import Lists, slices, tidy
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 128
@@ -101,19 +103,19 @@ class ChunkEncoder:
         plain = np.array([bool(p) and self.bare is not None and not _NOT_PLAIN.search(p) for p in pieces], bool)
         found = self._encode_plain([p for p, ok in zip(pieces, plain, strict=True) if ok]) if plain.any() else None
         if found is None:
-            self.piece_ids.append(whole(pieces))
+            self.piece_ids.append(*_flat(whole(pieces)))
             return
-        both = _Lists()
-        both.append_flat(*found)
-        both.append(whole([p for p, ok in zip(pieces, plain, strict=True) if not ok]))
+        both = Lists()
+        both.append(*found)
+        both.append(*_flat(whole([p for p, ok in zip(pieces, plain, strict=True) if not ok])))
         order = np.empty(len(pieces), np.int64)
         order[np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))] = np.arange(len(pieces))
-        self.piece_ids.append_flat(both.take(order), both.size[order])
+        self.piece_ids.append(both.take(order), both.size[order])
 
     def _forget(self) -> None:
         self.place: dict[str, int] = defaultdict(count().__next__)  # of chunks
         self.pieces: dict[str, int] = defaultdict(count().__next__)
-        self.chunk_ids, self.piece_ids = _Lists(), _Lists()
+        self.chunk_ids, self.piece_ids = Lists(), Lists()
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks by way of the pieces that are new among theirs."""
@@ -121,12 +123,12 @@ class ChunkEncoder:
         rows = [cut(c) for c in chunks]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         piece = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
-        new = list(self.pieces)[len(self.piece_ids.size) :]
+        new = list(self.pieces)[len(self.piece_ids) :]
         for at in range(0, len(new), 20_000):
             self._encode_pieces(new[at : at + 20_000])
         owner = np.repeat(np.arange(len(rows)), sizes)
         n_ids = np.bincount(owner, weights=self.piece_ids.size[piece], minlength=len(rows)).astype(np.int64)
-        self.chunk_ids.append_flat(self.piece_ids.take(piece), n_ids)
+        self.chunk_ids.append(self.piece_ids.take(piece), n_ids)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_chunk:
@@ -136,31 +138,14 @@ class ChunkEncoder:
         place = self.place.__getitem__
         chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]  # "" is a chunk without ids
         rows = [np.fromiter(map(place, c), np.int64, len(c)) for c in chunks]
-        if len(self.place) > len(self.chunk_ids.size):
-            self._learn(list(self.place)[len(self.chunk_ids.size) :])
+        if len(self.place) > len(self.chunk_ids):
+            self._learn(list(self.place)[len(self.chunk_ids) :])
         return [np.concatenate((self.chunk_ids.take(row), self.end)) for row in rows]
 
 
-class _Lists:
-    """Lists of ids, laid end to end."""
-
-    def __init__(self):
-        self.flat, self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def append(self, lists: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.append_flat(np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes)
-
-    def append_flat(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.size = np.concatenate((self.size, sizes))
-        self.flat = np.concatenate((self.flat, flat))
-
-    def take(self, which: np.ndarray) -> np.ndarray:
-        """The ids of these lists in turn."""
-        sizes = self.size[which]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.start[which] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
 
 
 def _dtype(vocab_size: int) -> str:
@@ -172,15 +157,13 @@ def _tokenize(held, dtype: str, end_id: int | None, bounds: list[int]):
         key = f"{hashlib.sha256(held.value.encode()).hexdigest()}-{end_id}"
         if key not in _ENCODERS:
             _ENCODERS[key] = ChunkEncoder(held.value, end_id)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                ids = part.column(0)
-                where = np.searchsorted(np.array(bounds, np.int64), ids.fill_null(-(1 << 63)).to_numpy())
-                rows = [x.astype(dtype).tobytes() for x in _ENCODERS[key].encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), ids, pa.array(rows, pa.binary())], ["part", "id", "ids"])
+        for part in (part for batch in batches for part in slices(batch, size=4 << 20)):
+            ids = part.column(0)
+            where = np.searchsorted(np.array(bounds, np.int64), ids.fill_null(-(1 << 63)).to_numpy())
+            rows = [x.astype(dtype).tobytes() for x in _ENCODERS[key].encode(part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), ids, pa.array(rows, pa.binary())], ["part", "id", "ids"])
 
-    return over
+    return tidy(over)
 
 
 class _Writer:

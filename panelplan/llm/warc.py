@@ -7,7 +7,8 @@ different executors, and nothing but the ranges is known beforehand.
 
 Rows: null pages are stored with an empty payload and a record id without number; payloads below
 MIN_BYTES are always responses; of equal payloads, each row with the smallest page id is a response
-(a repeated row too) and all others are revisits."""
+(a repeated row too) and all others are revisits. Payloads of any length are stored whole and read in
+pieces; tables without rows give no records. Other columns of pages are left out."""
 
 from __future__ import annotations
 
@@ -69,7 +70,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     first = rows.filter(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
-    joined = rows.join(first, "digest", "left")
+    # payloads too small for a revisit get keys of their own, so that all empty pages do not meet in one task
+    key = F.when(F.col("n_bytes") >= min_bytes, F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string"))
+    joined = rows.withColumn("key", key).join(first.withColumnRenamed("digest", "key"), "key", "left")
     original = F.col("first").isNull() | F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     out = joined.select(
         "page_id", "url", "n_bytes", "digest",
