@@ -1,7 +1,11 @@
 """Corpus pipeline: documents pass five stages in order.
 
 Each stage gets all rows that its predecessor kept; the rows are written to the shared folder and
-read again as the next stage's documents. All but the last return the columns of documents."""
+read again as the next stage's documents. All but the last return the columns of documents.
+
+Rows: each is kept or dropped for its own text, also where ids are null or repeat; null texts are kept
+as they are by the filters and are empty after the passages are cut; columns beyond those of documents
+are carried on; tables without rows give none."""
 
 from __future__ import annotations
 
@@ -17,6 +21,8 @@ from panelplan.llm.simhash import near_duplicates_removed
 from panelplan.llm.toxicity import score_toxicity, train_toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Passages of over 50 words are to go; words here have 5 letters and more on average, so that 51 of them take 256 bytes at least.
+PASSAGE_BYTES, PASSAGE_GRAM = 256, 64
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -36,9 +42,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the passages that also begin elsewhere; n_chars is that of what is left."""
-    left = repeats_removed(docs).withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
-    return left.select(docs.columns)
+    """Texts lose the passages of PASSAGE_BYTES bytes or more that also begin elsewhere, n_chars is that of what is left.
+
+    The operator's own query keeps to 400 bytes, by its contract; the stage has a length of its own."""
+    rows = _carried(docs).withColumn("doc_id", F.col("row.doc_id"))
+    left = repeats_removed(rows, size=PASSAGE_BYTES, gram=PASSAGE_GRAM).select("row.*", F.col("kept").alias("text"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
