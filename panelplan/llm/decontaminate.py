@@ -178,7 +178,7 @@ def shard_files(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // (8 * limit)))  # a word and what separates it take 8 bytes or less in most texts; tasks cut at the limit anyway
-    files = rows.repartition(parts, F.xxhash64("item", "text")).mapInArrow(_pack(shared_dir(benchmark.sparkSession, "shards"), window, limit), "path string, n_windows long")
+    files = rows.repartition(parts).mapInArrow(_pack(shared_dir(benchmark.sparkSession, "shards"), window, limit), "path string, n_windows long")
     return sorted(r["path"] for r in files.collect())  # a row per shard
 
 
