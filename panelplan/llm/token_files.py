@@ -6,10 +6,11 @@ Sequence k of a file is row k; mapped to memory, its values are a view. Beside i
 with a row for each document: its id, where its ids begin in the file, and how many there are.
 
 Documents are dealt by ranges of their ids, one range to a file, so files in turn hold documents in
-ascending order; within a range Spark sorts them. A manifest has one row per file.
+ascending order; within a range Spark sorts them. An id that fills several ranges on its own (or the
+null id) is dealt to as many files by a hash of the text. A manifest has one row per file.
 
 Rows: null texts are empty (just the end id); null document ids come first; repeated ids are kept,
-in the order of their tokens; a very long text is a row of one file, written in batches; tables without
+in the order of their texts' hash; a very long text is a row of one file, written in batches; tables without
 rows have no files and give no rows. Other columns of docs are left out, so their names do not matter."""
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,7 @@ _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _PIECES = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s0-9{_LETTERS}]+")
 _NOT_PLAIN = re.compile("[^\x00-\x1b\x20-;=-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]")  # nor <, which begins special tokens
 _ENCODERS: dict[str, ChunkEncoder] = {}
+_NULL_ID = -(1 << 63)
 MANIFEST = "part int, path string, index_path string, n_docs long, n_ids long"
 
 
@@ -152,6 +155,15 @@ def _dtype(vocab_size: int) -> str:
     return "<u2" if vocab_size <= 1 << 16 else "<u4"
 
 
+def part_of(ids: np.ndarray, h: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """The range of each id among bounds in order; one that is a bound several times has its rows dealt to as
+    many ranges, in the order of their hash (unsigned)."""
+    edges = np.array(bounds, np.int64)
+    first, after = np.searchsorted(edges, ids, side="left"), np.searchsorted(edges, ids, side="right")
+    times = np.maximum(after - first, 1)
+    return first + np.minimum((h >> np.uint64(11)) * 2.0**-53 * times, times - 1).astype(np.int64)
+
+
 def _tokenize(held, dtype: str, end_id: int | None, bounds: list[int]):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = f"{hashlib.sha256(held.value.encode()).hexdigest()}-{end_id}"
@@ -159,9 +171,11 @@ def _tokenize(held, dtype: str, end_id: int | None, bounds: list[int]):
             _ENCODERS[key] = ChunkEncoder(held.value, end_id)
         for part in (part for batch in batches for part in slices(batch, size=4 << 20)):
             ids = part.column(0)
-            where = np.searchsorted(np.array(bounds, np.int64), ids.fill_null(-(1 << 63)).to_numpy())
+            texts = part.column(1).cast(pa.binary())
+            h = np.array([xxhash.xxh3_64_intdigest(t.as_py() or b"") for t in texts], np.uint64)
+            where = part_of(ids.fill_null(_NULL_ID).to_numpy(), h, bounds)
             rows = [x.astype(dtype).tobytes() for x in _ENCODERS[key].encode(part.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), ids, pa.array(rows, pa.binary())], ["part", "id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), ids, pa.array(h.view(np.int64) ^ _NULL_ID), pa.array(rows, pa.binary())], ["part", "id", "h", "ids"])
 
     return tidy(over)
 
@@ -252,9 +266,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, id_col: str = "do
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     steps = [k / files for k in range(1, files)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("id", F.lit(steps), F.lit(max(10_000, 100 * files)))).first()[0] or [])) if steps else []
-    tokens = rows.mapInArrow(_tokenize(held, dtype, end_id, bounds), "part int, id long, ids binary")
-    dealt = tokens.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "ids")
+    bounds = sorted(rows.agg(F.percentile_approx(F.coalesce("id", F.lit(_NULL_ID)), F.lit(steps), F.lit(max(10_000, 100 * files)))).first()[0] or []) if steps else []
+    tokens = rows.mapInArrow(_tokenize(held, dtype, end_id, bounds), "part int, id long, h long, ids binary")
+    dealt = tokens.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "h", "ids")
     return written(dealt.mapInArrow(_write(folder, dtype, length), MANIFEST), "token-manifest")
 
 

@@ -359,6 +359,21 @@ def test_token_files_round_trip(spark, odd, empty):
     assert token_files.token_file_digests(empty, path).count() == 0
 
 
+def test_token_files_of_an_id_that_fills_several(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(7, f"text number {k}") for k in range(60)] + [(None, f"no id {k}") for k in range(60)] + [(k, f"row {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, path, shared_dir(spark, "tokens"), files=8)
+    assert manifest.filter("n_docs > 0").count() == 8 and manifest.agg(F.max("n_docs")).first()[0] < 45
+    got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted([r[0] for r in rows], key=lambda i: -1 if i is None else i)
+    starts = np.cumsum([0] + [r.n_tokens for r in got])
+    assert [r.start for r in got] == starts[:-1].tolist()
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((i, crc(t)) for i, t in rows)
+
+
 # 6 ------------------------------------------------------------------------------------------
 
 
