@@ -43,7 +43,7 @@ SAMPLE_DOCS = 900
 SAMPLE_CHARS = 10_000
 BUCKETS = 1 << 17
 KEPT_WORDS = 100_000
-TILE = 1 << 17
+TILE = 1 << 18
 _WORD = re.compile(r"[^\W\d_]+")
 
 
