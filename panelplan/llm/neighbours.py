@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: inverted lists scanned by adaptive dimension sampling.
 
 Vectors are dealt to the nearest of k centroids and rotated by a fixed random orthogonal matrix; rotated
-vectors are kept in column blocks of BLOCK_DIMS dimensions. There are about sqrt(N) / 2 lists, LISTS at
+vectors are kept in column blocks of BLOCK_DIMS dimensions. There are about sqrt(N) / 4 lists, LISTS at
 most; their centroids come from k-means rounds that Spark runs over a sample of about SAMPLE_PER_LIST
 vectors a list. A query probes the lists of its nearest centroids: as many as hold the share TARGET of
 the true neighbours of TRIAL_QUERIES vectors within TRIAL_ROWS sample vectors, whose neighbours lie
@@ -74,10 +74,9 @@ def rotation(dims: int, seed: int = 11) -> np.ndarray:
 
 def exact_distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Euclidean distances, in double precision, summed from the first dimension to the last."""
-    total = np.zeros(len(vectors))
-    for j in range(vectors.shape[1]):
-        total += (vectors[:, j] - query[j]) ** 2
-    return np.sqrt(total)
+    if not vectors.size:
+        return np.zeros(len(vectors))
+    return np.sqrt(np.add.accumulate((vectors - query) ** 2, axis=1)[:, -1])
 
 
 def column_blocks(turned: np.ndarray) -> list[np.ndarray]:
@@ -97,7 +96,8 @@ def scan(query: np.ndarray, turned: list[np.ndarray], ids: np.ndarray, vectors:
     for block, own in zip(blocks, turned, strict=True):
         if not len(rest):
             break
-        part += ((block[rest] - own) ** 2).sum(axis=1)
+        apart = (block[rest] if len(rest) < len(block) else block) - own
+        part += np.einsum("ij,ij->i", apart, apart)
         seen += len(own)
         margin = 1.0 if seen == dims else (1 + EPSILON / np.sqrt(seen)) ** 2
         keep = part * (dims / seen) <= bar * margin * (1 + 1e-4) + 1e-12  # blocks are in single precision
@@ -260,7 +260,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col
     rows = rows.filter(F.size("v") == dims)
     candidates = top_k(rows, ["v"], [F.col("id")], k + 1, "copy").drop("copy")
     total = rows.count()
-    lists = lists or int(np.clip(np.sqrt(total) / 2, 1, LISTS))
+    lists = lists or int(np.clip(np.sqrt(total) / 4, 1, LISTS))
     share = min(1.0, lists * SAMPLE_PER_LIST / total)
     sample = written(rows.filter(F.pmod(hashed, F.lit(1_000_000)) < max(1, int(1_000_000 * share))), "sample")
     centres = fit_centres(sample if share < 1 else rows, lists, dims)
