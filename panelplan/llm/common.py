@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelplan.sources.scratch import scratch_dir, staged
@@ -61,3 +63,8 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank
         inner = F.row_number().over(Window.partitionBy(*keys, "__share").orderBy(*order))
         df = df.withColumn("__share", share).withColumn(rank, inner).filter(F.col(rank) <= k).drop("__share", rank)
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, also where lambdas in body refer to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

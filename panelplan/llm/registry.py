@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from panelplan.llm.bpe import bpe_round_trip
 from panelplan.llm.common import table
 from panelplan.llm.decontaminate import benchmark_hits
+from panelplan.llm.divergence import source_divergence
 from panelplan.llm.language import id_fold, identify_language, reference_texts
 from panelplan.llm.neighbours import nearest_neighbours
+from panelplan.llm.periodic import longest_run, periodic_runs, planted
 from panelplan.llm.repeats import repeats_removed
 from panelplan.llm.simhash import simhash_components
 from panelplan.llm.token_files import token_file_digests
@@ -70,6 +72,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = longest_run(periodic_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -81,8 +92,11 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[a-z\x{{80}}-\x{{10FFFF}}]+')"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
 ORACLE = {
@@ -105,4 +119,26 @@ ORACLE = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
                sha256(coalesce(its.s, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AND 20 * coalesce(pos.n, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op11_source_divergence": f"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r, {_TERMS} AS w FROM documents),
+        t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        gn AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+        ln AS (SELECT lang, sum(total) AS total FROM gn GROUP BY lang),
+        p AS (SELECT lang, source, term, coalesce(n, 0) AS n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1)) // (coalesce(total, 0) + v) AS BIGINT) AS p
+              FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN gn USING (lang, source)),
+        q AS (SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 1)) // (total + v) AS BIGINT) AS q
+              FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) JOIN v USING (lang) JOIN ln USING (lang)),
+        pair AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS BIGINT) AS value
+                 FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+                  UNION ALL
+                  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+        WHERE part = 'pair' OR rank <= 200""",
 }
