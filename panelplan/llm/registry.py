@@ -15,6 +15,7 @@ from panelplan.llm.divergence import source_divergence
 from panelplan.llm.language import id_fold, identify_language, reference_texts
 from panelplan.llm.neighbours import nearest_neighbours
 from panelplan.llm.periodic import longest_run, periodic_runs, planted
+from panelplan.llm.quality import judge_quality
 from panelplan.llm.repeats import repeats_removed
 from panelplan.llm.simhash import simhash_components
 from panelplan.llm.token_files import token_file_digests
@@ -76,6 +77,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = longest_run(periodic_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
     "op11_source_divergence": op11_source_divergence,
+    "op12_quality_rules": op12_quality_rules,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
