@@ -47,6 +47,8 @@ CACHE_TERMS = 4 << 20
 DENSE_SLOTS = 8 << 20
 HELD_TERMS = 400_000
 BLOCK = 48
+#: Beyond so many languages their numbers of shards are joined by a shuffle.
+BROADCAST_LANGS = 10_000
 SALTS = 16
 SEED = 42
 _LEVELS = 24
@@ -162,7 +164,9 @@ def _shard(term: Column, shards: Column) -> Column:
 def perfect_hash_files(kept: DataFrame, shard_terms: int = SHARD_TERMS) -> DataFrame:
     """(lang, shard, shards, n_terms, path): a file for each shard, written by the task that builds it."""
     folder = shared_dir(kept.sparkSession, "hashes")
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("v")).select("lang", F.ceil(F.col("v") / shard_terms).alias("shards"))
+    sizes = written(kept.groupBy("lang").agg(F.count("*").alias("v")).select("lang", F.ceil(F.col("v") / shard_terms).alias("shards")), "hash-sizes")
+    if sizes.count() <= BROADCAST_LANGS:
+        sizes = F.broadcast(sizes)
 
     def build(table: pa.Table) -> pa.Table:
         lang, shard, shards = (table.column(c)[0].as_py() for c in ("lang", "shard", "shards"))
@@ -172,7 +176,7 @@ def perfect_hash_files(kept: DataFrame, shard_terms: int = SHARD_TERMS) -> DataF
         return pa.table({"lang": [lang], "shard": pa.array([shard], pa.int64()), "shards": pa.array([shards], pa.int64()), "n_terms": pa.array([len(laid)], pa.int64()), "path": [path]})
 
     dealt = kept.join(sizes, "lang").select("lang", _shard(F.col("term"), F.col("shards")).alias("shard"), "shards", "term")
-    return written(dealt.groupBy("lang", "shard").applyInArrow(build, "lang string, shard long, shards long, n_terms long, path string"), "hash-files")
+    return written(dealt.repartition("lang", "shard").groupBy("lang", "shard").applyInArrow(build, "lang string, shard long, shards long, n_terms long, path string"), "hash-files")
 
 
 class _Shards:
