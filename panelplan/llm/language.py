@@ -6,7 +6,8 @@ language whose phrases, times the bits that point to one (log2 of its labelled t
 fewest wins; ties go to the smaller name.
 
 A reference text has at most REFERENCE_BYTES bytes of whole documents, at most REFERENCE_DOCS of them,
-those with the smallest hash; that is the bound of the fitted sample. Automata are built in the workers
+those with the smallest hash, or else the shortest document of the language, whole; that is the bound of
+the fitted sample, and no more than REFERENCE_DOCS rows of a language reach the driver. Automata are built in the workers
 from these texts and laid out as transition tables, so that the parses of many texts advance one byte in
 a few array operations.
 
@@ -18,12 +19,12 @@ first one gives the next piece another state to begin with, and that one is read
 
 Rows: null texts, and texts without a letter (Unicode category L), are `und` with score 0; null languages
 and documents with a null id teach nothing; without any labelled text all is `und`. Repeated rows are
-predicted each; tables without rows give none. Columns of the same names as the result's are not
+predicted each, and count once among the labelled ones, as do equal texts of one id; different texts of an id count each; tables without rows give none. Columns of the same names as the result's are not
 carried over."""
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,24 +189,28 @@ class Parser:
 
 
 def reference_texts(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = REFERENCE_DOCS, size: int = REFERENCE_BYTES) -> dict[str, bytes]:
-    """Labelled text of each language: whole documents in the order of their ids' hash while they fit into `size` bytes."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.octet_length(text_col).between(1, size - 1))
-    keys = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    first = top_k(keys, ["lang"], [F.xxhash64("id"), F.col("id")], docs, "k", spread=32).select("id").distinct()
-    ids = [r["id"] for r in first.collect()]  # `docs` for each language
-    texts = rows.filter(F.col(id_col).isin(ids)).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    """Labelled text of each language: whole documents in the order of their ids' hash while they fit into `size` bytes.
+
+    Documents of `size` bytes or more come last, the shortest first; the first document is taken whatever its size,
+    so that a language of long documents only is learned from one whole document."""
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) > 0))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("th"), F.octet_length(text_col).alias("n"), F.col(text_col).alias("text"))
+    over = F.when(F.col("n") >= size, F.col("n")).otherwise(0)
+    keys = rows.select("lang", "id", "th", "n").distinct()  # repeated rows are one
+    first = top_k(keys, ["lang"], [over, F.xxhash64("id"), F.col("id"), F.col("th")], docs, "k", spread=32).drop("n")
+    chosen = rows.join(F.broadcast(first), ["lang", "id", "th"]).groupBy("lang", "id", "th", "k").agg(F.first("text").alias("text"))  # `docs` for each language
     out: dict[str, bytes] = {}
-    for r in sorted(texts.collect(), key=lambda r: (r["h"], str(r["id"]), r["text"])):
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["k"])):
         more = r["text"].encode() + b"\n"
-        if len(out.get(r["lang"], b"")) + len(more) <= size:
+        if r["lang"] not in out or len(out[r["lang"]]) + len(more) <= size:
             out[r["lang"]] = out.get(r["lang"], b"") + more
     return out
 
 
-_PARSERS: dict[int, Parser] = {}
+_PARSERS: dict[str, Parser] = {}
 
 
-def _predict(held, key: int):
+def _predict(held, key: str):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _PARSERS:
             _PARSERS.clear()
@@ -220,7 +225,7 @@ def _predict(held, key: int):
 def identify_language(docs: DataFrame, references: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score) of each document; score: the runner-up's cost over the sum of both (0.5 to 1)."""
     held = docs.sparkSession.sparkContext.broadcast(references)  # REFERENCE_BYTES for each language
-    key = zlib.crc32(repr(sorted(references.items())).encode())
+    key = hashlib.sha256(repr(sorted(references.items())).encode()).hexdigest()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_predict(held, key), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
