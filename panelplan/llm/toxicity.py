@@ -13,17 +13,19 @@ first matrix forgets what came before. It is cut into equal pieces whose product
 side, so the work is a few array operations per token however long a single text is; more tokens than
 TILE are taken tile after tile, their products carried on, so that memory does not grow with a text.
 
-The sample is at most SAMPLE_DOCS labelled documents of each class, the smallest by hash among those
-of up to SAMPLE_CHARS characters; it is the bound of what is learned from, and every text is scored whole.
+The sample is at most SAMPLE_DOCS labelled documents of each class, those of up to SAMPLE_CHARS characters by
+hash and then longer ones, the shortest first, whole, until the class has SAMPLE_DOCS * SAMPLE_CHARS characters;
+it is the bound of what is learned from, and every text is scored whole.
 
 Rows: null and empty texts have no tokens and get the lowest score that the curve gives; repeated label
 rows of a document count once if they agree, and not at all if they differ; null labels and null ids
-of labels are left out; without both classes every score is the share of toxic labels, or 0 without
+of labels are left out; equal texts count once, and not at all with both labels; without both classes every score is the share of toxic labels, or 0 without
 labels. Repeated documents are scored each; tables without rows give none. Columns of the same names as
 the result's are not carried over."""
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
 import zlib
@@ -33,7 +35,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelplan.llm.common import top_k
@@ -299,16 +301,26 @@ def fit_model(texts: list[str], toxic: list[int], rounds: int = 60, rate: float
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> list:
-    """At most per_class rows (id, y, text) of each class, those whose id has the smallest hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list:
+    """Rows (id, y, text) of each class, at most per_class, those whose id has the smallest hash.
+
+    Texts of more than `chars` characters come after all shorter ones, the shortest first, and only while a class
+    has not per_class * chars characters; its first text is taken whatever its length. A text counts once, with
+    its smallest id; one that has both labels teaches nothing."""
     marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).filter("y = z and id is not null")
     if usable is not None:
         marks = marks.filter(usable)
-    lengths = docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("n")).filter(F.col("n").between(1, max_chars))
-    first = top_k(marks.join(lengths, "id", "left_semi").select("id", "y"), ["y"], [F.xxhash64("id"), F.col("id")], per_class, "k", spread=32)
-    ids = [r["id"] for r in first.select("id").collect()]  # per_class rows of two classes
-    texts = docs.filter(F.col(id_col).isin(ids) & F.length(text_col).between(1, max_chars)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return sorted(texts.join(marks.select("id", "y"), "id").dropDuplicates(["text"]).orderBy("id").limit(2 * per_class).collect(), key=lambda r: (r["id"], r["text"]))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.length(text_col).alias("n"), F.col(text_col).alias("text")).filter("n > 0")
+    over = F.when(F.col("n") > chars, F.col("n")).otherwise(0)
+    keys = rows.select("id", "th", "n").join(marks.select("id", "y"), "id").distinct()  # repeated rows are one
+    first = top_k(keys, ["y"], [over, F.xxhash64("id"), F.col("id"), F.col("th")], per_class, "k", spread=32)
+    held = F.sum("n").over(Window.partitionBy("y").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))  # per_class rows
+    first = first.withColumn("held", held).filter((F.col("held") <= per_class * chars) | (F.col("k") == 1)).select("id", "th", "y")
+    chosen = rows.join(F.broadcast(first), ["id", "th"]).groupBy("id", "th", "y").agg(F.first("text").alias("text"))  # per_class rows of two classes
+    seen: dict[str, list] = defaultdict(list)
+    for r in sorted(chosen.collect(), key=lambda r: (r["id"], r["text"])):
+        seen[r["text"]].append(r)
+    return [same[0] for same in seen.values() if len({r["y"] for r in same}) == 1]
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, **columns) -> ToxicModel:
@@ -318,10 +330,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = N
     return fit_model([r["text"] for r in rows], [int(r["y"]) for r in rows])
 
 
-_MODELS: dict[int, ToxicModel] = {}
+_MODELS: dict[str, ToxicModel] = {}
 
 
-def _score(held, key: int, keep_text: bool):
+def _score(held, key: str, keep_text: bool):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _MODELS:
             _MODELS.clear()
@@ -353,6 +365,6 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
     held = docs.sparkSession.sparkContext.broadcast(packed)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_score(held, zlib.crc32(packed), keep_text), f"id {kind}, score double, starts array<int>, ends array<int>{', text string' * keep_text}")
+    found = rows.mapInArrow(_score(held, hashlib.sha256(packed).hexdigest(), keep_text), f"id {kind}, score double, starts array<int>, ends array<int>{', text string' * keep_text}")
     spans = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.struct(s["starts"].alias("start"), s["ends"].alias("end")))
     return found.select(F.col("id").alias(id_col), "score", spans.alias("spans"), *["text"] * keep_text)
