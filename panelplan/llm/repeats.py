@@ -355,7 +355,8 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def bodies(chosen: DataFrame, width: int | None, schema: str) -> DataFrame:
         marks = contexts.join(chosen, "kh").groupBy("w.id", "w.th").agg(F.collect_list(F.struct("kh", "ctx", "n", "w.a", "w.more", "w.at")).alias("marks"))
-        return keyed.join(marks, ["id", "th"]).select("text", "marks").mapInArrow(_context_bytes(size, width), schema)
+        one = keyed.join(marks, ["id", "th"]).groupBy("id", "th").agg(F.first("text").alias("text"), F.first("marks").alias("marks"))  # repeated rows have the same marks
+        return one.select("text", "marks").mapInArrow(_context_bytes(size, width), schema)
 
     runs = _compared(bodies(groups.filter(F.col("bytes") <= part_bytes).select("kh"), None, "g long, s binary, n int, data binary"), size, part_bytes)
     verdict = runs.select(F.col("g").alias("kh"), F.col("s").alias("ctx"), "lo", "hi")
@@ -377,7 +378,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pieces = pieces.join(left, "g", "left_semi").select("kh", "ctx", "lo", "at", "n", "data").mapInArrow(_cut(size, following), piece)
         verdict = verdict.groupBy("kh", "ctx").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     verdict = written(verdict, "verdicts")
-    hits = found.join(verdict, ["kh", "ctx"]).select("id", "th", F.struct((F.col("a") + F.col("lo")).alias("start"), (F.col("a") + F.col("hi")).alias("end")).alias("span"))
+    hits = found.join(verdict, ["kh", "ctx"]).select("id", "th", F.struct((F.col("a") + F.col("lo")).alias("start"), (F.col("a") + F.col("hi")).alias("end")).alias("span")).distinct()  # repeated rows have the same spans
     return hits.groupBy("id", "th").agg(F.collect_list("span").alias("spans"))
 
 
