@@ -7,9 +7,9 @@ word by word. Windows have 13 words, so one table serves all but items shorter t
 have a table for each length.
 
 Items are dealt into shards of at most SHARD_WINDOWS windows by Spark tasks, which write each shard to a
-file in the shared folder; a search is a pass of the documents over one shard, and passes over several
-shards are written one after another. A worker thus holds one table of bounded size at a time, however
-large the benchmark, and no item goes through the driver.
+file in the shared folder. Documents are read once and nothing of them is written: where there are several
+shards, a task takes HELD_BYTES of texts through one after the other. A worker thus holds one table of bounded
+size at a time, however large the benchmark, and no item goes through the driver.
 
 Rows: a null text has no words; an item without words has no window; items with a null id or text are
 left out; equal windows of several items count for each; repeated item ids count once; repeated
@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelplan.llm.common import shared_dir, written
+from panelplan.llm.common import shared_dir
 from panelplan.llm.files import new_file, random_access
 from panelplan.llm.memory import slices, tidy
 
 WINDOW = 13
 BLOCK_WORDS = 3
 SHARD_WINDOWS = 200_000
+HELD_BYTES = 64 << 20
 #: Bytes that separate words, after A-Z are lowered: all ASCII but 0-9 and a-z. As text, for SQL and tests.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TO_SPACE = bytes(c if chr(c).isdigit() or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(128)) + bytes(range(128, 256))
@@ -141,34 +142,52 @@ def _covered(starts: list[int], ends: list[int]) -> int:
     return total
 
 
-_FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>"
+def _held(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of batches, in groups of about `size` bytes of text."""
+    held, total = [], 0
+    for part in (part for whole in batches for part in slices(whole)):
+        held.append(part)
+        total += part.column("text").nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
-def _scan(path: str | None, last: bool, keep_text: bool):
-    """One pass over a shard. Between passes rows carry the spans and items found so far; the last one counts them."""
+def _scan(paths: list[str | None], keep_text: bool, size: int):
+    """Search all shards. A task takes the texts of a group through one shard after the other; the next group
+    begins with the shard that is held."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard.of(path)
-        for batch in (part for whole in batches for part in slices(whole)):
-            before = [batch.column(c).to_pylist() for c in ("starts", "ends", "items")] if "starts" in batch.schema.names else [[[]] * batch.num_rows] * 3
-            n_words, starts, ends, items = [], [], [], []
-            for text, s0, e0, i0 in zip(batch.column("text").cast(pa.binary()), *before, strict=True):
-                words = words_of(text.as_py())
-                spans, found = shard.search(words)
-                n_words.append(len(words))
-                starts.append(s0 + [s for s, _ in spans])
-                ends.append(e0 + [e for _, e in spans])
-                items.append(sorted(found.union(i0)))
-            columns = {"id": batch.column("id"), "n_words": pa.array(n_words, pa.int64())}
-            if last:
-                columns["n_hit"] = pa.array([_covered(s, e) for s, e in zip(starts, ends, strict=True)], pa.int64())
-                columns["items"] = pa.array(items, pa.list_(pa.string()))
-                columns["items_sha256"] = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string())
-            else:
-                columns |= {"starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
-            if keep_text or not last:
-                columns["text"] = batch.column("text")
-            yield pa.RecordBatch.from_pydict(columns)
+        order = list(paths)
+        for parts in _held(batches, size if len(paths) > 1 else 1):
+            texts = [[t.as_py() for t in part.column("text").cast(pa.binary())] for part in parts]
+            spans: list[list[list[tuple[int, int]]]] = [[[] for _ in t] for t in texts]
+            items: list[list[set[str]]] = [[set() for _ in t] for t in texts]
+            n_words = [[0] * len(t) for t in texts]
+            for path in order:
+                shard = _Shard.of(path)
+                for p, part in enumerate(texts):
+                    for k, text in enumerate(part):
+                        words = words_of(text)
+                        found, names = shard.search(words)
+                        n_words[p][k] = len(words)
+                        spans[p][k] += found
+                        items[p][k] |= names
+            order.reverse()
+            for p, part in enumerate(parts):
+                named = [sorted(x) for x in items[p]]
+                columns = {
+                    "id": part.column("id"),
+                    "n_words": pa.array(n_words[p], pa.int64()),
+                    "n_hit": pa.array([_covered([s for s, _ in x], [e for _, e in x]) for x in spans[p]], pa.int64()),
+                    "items": pa.array(named, pa.list_(pa.string())),
+                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], pa.string()),
+                }
+                if keep_text:
+                    columns["text"] = part.column("text")
+                yield pa.RecordBatch.from_pydict(columns)
 
     return tidy(over)
 
@@ -190,9 +209,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     paths = shard_files(benchmark, item_col, item_text_col, window, shard_windows) or [None]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    for path in paths[:-1]:
-        rows = written(rows.mapInArrow(_scan(path, False, True), f"id {kind}, {_FOUND}, text string"), "searched")
-    found = rows.mapInArrow(_scan(paths[-1], True, keep_text), f"id {kind}, n_words long, n_hit long, items array<string>, items_sha256 string{', text string' * keep_text}")
+    found = rows.mapInArrow(_scan(paths, keep_text, HELD_BYTES), f"id {kind}, n_words long, n_hit long, items array<string>, items_sha256 string{', text string' * keep_text}")
     return found.select(
         F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "items_sha256",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"), *["text"] * keep_text,
