@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelplan.operators.quantiles import exact_quantiles
+from panelplan.sources.scratch import staged
+
 EPS = 2.220446049250313e-16
 
 
@@ -17,11 +20,9 @@ def compare_by_month(df: DataFrame, a: str, b: str, actual: str = "actual", mont
     """Mean and median APE of two models by month, the winner (ties: b) and the gap in points. Zero actuals are left out."""
     rows = df.filter(F.col(actual) != 0)
     rows = rows.filter(F.col(actual) >= min_actual) if min_actual is not None else rows
-    out = (
-        rows.withColumns({"ape_a": ape(actual, a), "ape_b": ape(actual, b)})
-        .groupBy(month)
-        .agg(F.count_distinct(series).alias("n_series"), F.avg("ape_a").alias("mape_a"), F.avg("ape_b").alias("mape_b"), F.median("ape_a").alias("median_a"), F.median("ape_b").alias("median_b"))
-    )
+    rows = staged(rows.select(month, series, ape(actual, a).alias("ape_a"), ape(actual, b).alias("ape_b")), "apes")
+    means = rows.groupBy(month).agg(F.count_distinct(series).alias("n_series"), F.avg("ape_a").alias("mape_a"), F.avg("ape_b").alias("mape_b"))
+    out = means.join(exact_quantiles(rows, [month], {"median_a": ("ape_a", 0.5), "median_b": ("ape_b", 0.5)}), month, "left")
     return out.withColumn("winner", F.when(F.col("mape_a") < F.col("mape_b"), "a").otherwise("b")).withColumn("gap", F.abs(F.col("mape_a") - F.col("mape_b")))
 
 
@@ -68,7 +69,9 @@ def series_metrics(df: DataFrame, series: str = "series", actual: str = "actual"
 
 
 def series_summary(per_series: DataFrame) -> DataFrame:
-    return per_series.agg(F.median("wape").alias("median_wape"), F.try_divide(F.sum("bias"), F.sum("total_actual")).alias("total_bias"))
+    rows = staged(per_series.select("wape", "bias", "total_actual"), "per-series")
+    total = rows.agg(F.try_divide(F.sum("bias"), F.sum("total_actual")).alias("total_bias"))
+    return exact_quantiles(rows, [], {"median_wape": ("wape", 0.5)}).join(total, F.lit(True), "right")  # a row each
 
 
 def series_mape(df: DataFrame, series: str = "series", actual: str = "actual", forecast: str = "forecast") -> DataFrame:
@@ -113,6 +116,12 @@ def loss_metrics(df: DataFrame, delta: float = 1.0, flag: str | None = None, wei
 
 
 def quantile_summary(samples: DataFrame, keys: list[str], value: str = "sample", qs: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """Exact quantiles of groups of any size."""
+    return exact_quantiles(samples, keys, {f"p{round(q * 100)}": (value, q) for q in qs})
+
+
+def draw_quantiles(samples: DataFrame, keys: list[str], value: str = "sample", qs: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """Quantiles of the draws of each forecast: groups of a fixed, small number of rows, each in one buffer."""
     found = samples.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("__q"))
     return found.select(*keys, *[F.col("__q")[k].alias(f"p{round(q * 100)}") for k, q in enumerate(qs)])
 

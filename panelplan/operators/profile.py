@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelplan.operators.quantiles import exact_quantiles
 from panelplan.operators.ranking import with_running
+from panelplan.sources.scratch import staged
 
 
 def series_profile(df: DataFrame, series: str, date: str, value: str) -> DataFrame:
@@ -89,7 +91,9 @@ def forecast_health(df: DataFrame, series: str, date: str, value: str) -> DataFr
 
 def flatness(df: DataFrame, series: str, value: str) -> DataFrame:
     per = df.groupBy(series).agg(F.stddev_samp(value).alias("std"), F.max(value).alias("peak"), F.avg(value).alias("mean"))
-    return per.agg((F.count_if(F.coalesce(F.col("std"), F.lit(0.0)) < 1e-6) / F.count("*")).alias("flat_share"), F.median(F.try_divide("peak", "mean")).alias("median_peak_to_mean"))
+    rows = staged(per.select("std", F.try_divide("peak", "mean").alias("peak_to_mean")), "per-series")
+    flat = rows.agg((F.count_if(F.coalesce(F.col("std"), F.lit(0.0)) < 1e-6) / F.count("*")).alias("flat_share"))
+    return flat.join(exact_quantiles(rows, [], {"median_peak_to_mean": ("peak_to_mean", 0.5)}), F.lit(True), "left")  # a row each
 
 
 def seasonality_check(df: DataFrame, date: str, value: str, window: tuple[str, str]) -> DataFrame:
@@ -105,7 +109,9 @@ def seasonality_check(df: DataFrame, date: str, value: str, window: tuple[str, s
 
 def sparsity(df: DataFrame, series: str, value: str) -> DataFrame:
     per = df.groupBy(series).agg((F.count_if(F.col(value) == 0) / F.count("*")).alias("zero_share"), F.avg(value).alias("mean"), F.max(value).alias("peak"))
-    return per.agg(F.median("zero_share").alias("median_zero_share"), F.percentile("zero_share", F.lit(0.9)).alias("p90_zero_share"), F.median("mean").alias("median_mean"), F.median(F.try_divide("peak", "mean")).alias("median_peak_to_mean"))
+    rows = per.select("zero_share", "mean", F.try_divide("peak", "mean").alias("peak_to_mean"))
+    wanted = {"median_zero_share": ("zero_share", 0.5), "p90_zero_share": ("zero_share", 0.9), "median_mean": ("mean", 0.5), "median_peak_to_mean": ("peak_to_mean", 0.5)}
+    return exact_quantiles(rows, [], wanted)
 
 
 def level_check(history: DataFrame, forecast: DataFrame, actual: DataFrame, date: str, value: str, long: int = 365, short: int = 90) -> DataFrame:

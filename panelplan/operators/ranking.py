@@ -12,14 +12,14 @@ SAMPLE = 50
 MAX_PARTS = 200
 
 
-def with_running(df: DataFrame, order: list[Column], rank: str | None = None, sums: dict[str, str] | None = None) -> DataFrame:
+def with_running(df: DataFrame, order: list[Column], rank: str | None = None, sums: dict[str, str] | None = None, fixed: bool = False) -> DataFrame:
     """Add the place of each row in the order (from 1) and running sums of columns (new name -> column).
 
     order: ascending expressions (negate numbers for the largest first) that tell all rows apart, without
     nulls. Rows are dealt into ranges of the order by bounds from a small sample; ranks and sums run inside
-    each range, and what all ranges before it hold (a row per range) is added."""
+    each range, and what all ranges before it hold (a row per range) is added. fixed: df is a written table already."""
     sums = sums or {}
-    rows = staged(df, "ranked")  # looked at three times
+    rows = df if fixed else staged(df, "ranked")  # looked at three times
     parts = min(MAX_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [x.alias(f"k{i}") for i, x in enumerate(order)]
     seen = sorted(tuple(r) for r in rows.select(*keys).orderBy(F.xxhash64(*order)).limit(SAMPLE * parts).collect())  # SAMPLE x parts rows
