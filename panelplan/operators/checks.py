@@ -80,6 +80,46 @@ def audit_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("columns", F.lit(len(df.columns)).cast("bigint")).unpivot([], ["rows", "columns", "duplicate_keys"], "check_name", "value")
 
 
+def strict_report(df: DataFrame, series: str, index: str, date: str, value: str, last_history: str, static: list[str], covariates: list[str], min_rows: int, examples: int = 5) -> DataFrame:
+    """(check_name, violations, first_example, examples): the strict checks of a panel as counts, in one scan and one shuffle by series.
+
+    V1 keys (series, index) that occur more than once; V3 rows whose index is not one more than the one before;
+    V6 series whose static columns change or are null; V7 null or non-numeric covariates, a row for each; V8
+    series with missing or negative targets in history, or targets after it; V10 series of fewer than min_rows
+    rows. examples: up to so many series that violate the check, the least of each share of series by hash, so
+    that what is kept does not grow; for V7 there are none. A null series counts as one; equal indices of a series
+    follow one another only once."""
+    past, v = F.col(date) <= F.lit(last_history).cast("date"), F.col(value)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    numeric = ("int", "bigint", "smallint", "tinyint", "float", "double", "decimal")
+    wanted = dict.fromkeys([series, index, date, value, *static, *covariates])
+    keyed = df.select(*wanted).repartition(series).groupBy(series, index).agg(
+        F.count("*").alias("__n"), F.count_if(past & v.isNull()).alias("__missing"), F.count_if(past & (v < 0)).alias("__negative"), F.count_if(~past & v.isNotNull()).alias("__future"),
+        *[f(text(c)).alias(f"__{n}_{c}") for c in static for n, f in (("lo", F.min), ("hi", F.max))], *[F.count_if(F.col(c).isNull()).alias(f"__null_{c}") for c in dict.fromkeys([*static, *covariates])],
+    )
+    before = F.lag(index).over(Window.partitionBy(series).orderBy(index))
+    changed = reduce(lambda a, b: a | b, [(F.min(f"__lo_{c}") != F.max(f"__hi_{c}")) | (F.sum(f"__null_{c}") > 0) for c in static], F.lit(False))
+    per = keyed.withColumn("__before", before).groupBy(series).agg(
+        F.count_if(F.col("__n") > 1).alias("V1 grain"), F.count_if(F.col("__before").isNotNull() & (F.col(index) - F.col("__before") != 1)).alias("V3 contiguous"), changed.cast("long").alias("V6 static"),
+        (F.sum("__missing") + F.sum("__negative") + F.sum("__future") > 0).cast("long").alias("V8 targets"), (F.sum("__n") < min_rows).cast("long").alias("V10 length"),
+        *[(F.sum(F.col("__n") if not kinds[c].startswith(numeric) else F.col(f"__null_{c}"))).alias(f"V7 covariate {c}") for c in covariates],
+    )
+    names = [c for c in per.columns if c != series]
+    name, share = F.col(series).cast("string"), F.pmod(F.xxhash64(series), F.lit(examples))
+    some = lambda c: F.array_compact(F.array(*[F.min(F.when((F.col(c) > 0) & (share == k), name)) for k in range(examples)]))
+    empty = F.array().cast("array<string>")
+    total = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{k}") for k, c in enumerate(names)], *[(empty if c.startswith("V7") else F.sort_array(some(c))).alias(f"e_{k}") for k, c in enumerate(names)])
+    rows = F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(f"n_{k}").alias("violations"), F.get(F.col(f"e_{k}"), 0).alias("first_example"), F.col(f"e_{k}").alias("examples")) for k, c in enumerate(names)])
+    return total.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def require_clean(report: DataFrame) -> None:
+    """Raise if a strict check of a report has found anything; a row for each check is looked at."""
+    if found := [f"{r['check_name']}: {r['violations']} (such as {', '.join(r['examples']) or 'no series named'})" for r in report.collect() if r["violations"]]:
+        raise ValueError("; ".join(found))
+
+
 def require_empty(violations: DataFrame, name: str) -> None:
     """Raise if a strict check has found anything."""
     if found := violations.limit(5).collect():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelplan.operators.ranking import with_running
+
 
 def month_spine(df: DataFrame, date: str, name: str = "month_of_sale") -> DataFrame:
     """All months from the first to the last date of df; one row of bounds, exploded."""
@@ -69,7 +71,7 @@ def unscale(value: str = "scaled"):
 def ordinal_encode(df: DataFrame, column: str, known: DataFrame | None = None, out: str | None = None) -> DataFrame:
     """Rank of the value among the sorted distinct values of `known` (df itself if not given), from 0; -1 for others."""
     values = (known if known is not None else df).select(column).filter(F.col(column).isNotNull()).distinct()
-    codes = values.withColumn("__code", F.row_number().over(Window.orderBy(column)) - 1)
+    codes = with_running(values, [F.col(column)], "__place").select(column, (F.col("__place") - 1).alias("__code"))  # ranked over ranges
     return df.join(codes, column, "left").withColumn(out or f"{column}_code", F.coalesce("__code", F.lit(-1))).drop("__code")
 
 

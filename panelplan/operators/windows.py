@@ -47,6 +47,22 @@ def event_coverage(windows: DataFrame, events: DataFrame) -> DataFrame:
     return out.withColumn("role", F.when(F.col("n_target") > 0, "target").when(F.col("n_context") > 0, "context only").otherwise("unseen"))
 
 
+def event_coverage_by_series(bounds: DataFrame, events: list[tuple[str, str]], icl: int, ocl: int, cap: int | None = None) -> DataFrame:
+    """The same for each series of (series, lo, hi) and its own windows, without laying the windows out.
+
+    A series' windows begin on consecutive days, so those that hold a day in their output, or in their input, are
+    those between two numbers: counts are differences. events: (name, date), a short list given by the caller.
+    cap: only the newest so many windows of each series. Series too short for a window have no row."""
+    n = F.date_diff("hi", "lo") + 1 - (icl + ocl) + 1
+    first = F.greatest(n - cap, F.lit(0)) if cap is not None else F.lit(0)
+    listed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(day).cast("date").alias("date")) for name, day in events])
+    rows = bounds.withColumns({"__last": n - 1, "__first": first}).filter("__last >= 0").withColumn("__e", F.explode(listed))
+    x = F.date_diff(F.col("__e.date"), F.col("lo")) - icl  # the last window whose output has begun on the day
+    between = lambda lo, hi: F.greatest(F.least(hi, F.col("__last")) - F.greatest(lo, F.col("__first")) + 1, F.lit(0))
+    out = rows.select("series", "__e.name", "__e.date", between(x - (ocl - 1), x).cast("bigint").alias("n_target"), between(x + 1, x + icl).cast("bigint").alias("n_context"))
+    return out.withColumn("role", F.when(F.col("n_target") > 0, "target").when(F.col("n_context") > 0, "context only").otherwise("unseen"))
+
+
 def val_bounds(params: DataFrame) -> DataFrame:
     """Validation bounds from (train_end, val_end, icl, ocl): where the strip begins, and how many of its
     days are targets that training has seen."""
@@ -57,3 +73,9 @@ def val_bounds(params: DataFrame) -> DataFrame:
 
 def step_numbers(df: DataFrame, series: str, date: str) -> DataFrame:
     return df.withColumn("step", F.row_number().over(Window.partitionBy(series).orderBy(date)))
+
+
+def relative_steps(df: DataFrame, series: str, date: str) -> DataFrame:
+    """relative_step: the place of a row from the end of its window: 0 for the last one, negative before it."""
+    w = Window.partitionBy(series)
+    return df.withColumn("relative_step", F.row_number().over(w.orderBy(date)) - F.count("*").over(w).cast("int"))

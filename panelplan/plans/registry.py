@@ -104,9 +104,9 @@ def _skus(spark: SparkSession, d: str) -> DataFrame:
     return mapping.sku_master(t["sku_source"], t["family_mapping"])
 
 
-def _mapped(spark: SparkSession, d: str) -> DataFrame:
+def _mapped(spark: SparkSession, d: str, family_from: str = "current") -> DataFrame:
     t = _tables(spark, d)
-    return mapping.mapped_sales(C.filter_retail(t["retail"], TYPES), mapping.sku_master(t["sku_source"], t["family_mapping"]), t["obd_mapping"], t["dealer_hierarchy"])
+    return mapping.mapped_sales(C.filter_retail(t["retail"], TYPES), mapping.sku_master(t["sku_source"], t["family_mapping"]), t["obd_mapping"], t["dealer_hierarchy"], family_from)
 
 
 def _monthly(spark: SparkSession, d: str) -> DataFrame:
@@ -117,27 +117,29 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
     return panel.fill_gaps(_monthly(spark, d), ["parent_dealer_code", "model_family"]).withColumn("series", mapping.series_key())
 
 
-def _sku_monthly(spark: SparkSession, d: str) -> DataFrame:
-    return mapping.monthly_sales(_mapped(spark, d), ("parent_dealer_code", "model_family_code", "sku"))
+def _sku_monthly(spark: SparkSession, d: str, family_from: str = "current") -> DataFrame:
+    return mapping.monthly_sales(_mapped(spark, d, family_from), ("parent_dealer_code", "model_family_code", "sku"))
 
 
-def _forecast_months(sales: DataFrame) -> DataFrame:
-    return sales.select(F.col("month_of_sale").alias("forecast_month")).distinct().orderBy(F.col("forecast_month").desc()).limit(4)
+def _forecast_months(sales: DataFrame, n: int | None = 4) -> DataFrame:
+    """The newest n months, those of a planning run; None: all months."""
+    months = sales.select(F.col("month_of_sale").alias("forecast_month")).distinct()
+    return months if n is None else months.orderBy(F.col("forecast_month").desc()).limit(n)
 
 
-def _family_forecast(sales: DataFrame) -> DataFrame:
-    recent = disagg.lookback_sales(sales, _forecast_months(sales), ["parent_dealer_code", "model_family_code"])
+def _family_forecast(sales: DataFrame, n: int | None = 4) -> DataFrame:
+    recent = disagg.lookback_sales(sales, _forecast_months(sales, n), ["parent_dealer_code", "model_family_code"])
     return recent.select("forecast_month", "parent_dealer_code", "model_family_code", (F.col("sales") / 3).alias("forecast"))
 
 
-def _staged_sales(spark: SparkSession, d: str) -> DataFrame:
+def _staged_sales(spark: SparkSession, d: str, family_from: str = "current") -> DataFrame:
     """Monthly SKU sales, written once: months, family forecasts, look-backs and variability all start from them."""
-    return staged(_sku_monthly(spark, d), "sku-monthly")
+    return staged(_sku_monthly(spark, d, family_from), "sku-monthly")
 
 
-def _sku_forecast(spark: SparkSession, d: str, sales: DataFrame | None = None) -> DataFrame:
+def _sku_forecast(spark: SparkSession, d: str, sales: DataFrame | None = None, n: int | None = 4) -> DataFrame:
     sales = _staged_sales(spark, d) if sales is None else sales
-    return disagg.disaggregate_months(_family_forecast(sales), sales, _skus(spark, d))
+    return disagg.disaggregate_months(_family_forecast(sales, n), sales, _skus(spark, d))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -325,9 +327,38 @@ def d5_num_active_skus(spark, d):
     return disagg.num_active_skus(C.active_skus(_skus(spark, d)))
 
 
-@query("k9_disaggregate_months", f"SELECT forecast_month, parent_dealer_code, model_family_code, sku, n_skus, no_history_flag, round(share, 5) AS share, {_rs('sku_forecast', digits=6)} FROM sku_fc")
+#: The chain behind the SKU forecast once more, from sales whose family is that of the SKU as sold, and for all months.
+CTE["mapped_as_sold"] = """SELECT r.cal_date, d.parent_dealer_code, s.model_family, s.model_family_code, coalesce(f.current_sku, r.sku) AS sku, r.invoiced_sales + r.cancelled_sales + r.returned_sales AS net_sales
+    FROM retail r JOIN skus s ON r.sku = s.sku LEFT JOIN following f ON r.sku = f.sku JOIN dealers d ON r.dealer_code = d.dealer_code WHERE r.x_customer_type IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY')"""
+for _suffix, _base in (("_as_sold", "mapped_as_sold"), ("_all", "mapped")):
+    for _name in ("sku_monthly", "fmonths", "family_fc", "recent", "shares", "sku_fc"):
+        _text = CTE[_name].replace(" LIMIT 4", "" if _suffix == "_all" else " LIMIT 4").replace("FROM mapped", f"FROM {_base}")
+        for _part in ("sku_monthly", "fmonths", "family_fc", "recent", "shares"):
+            _text = _text.replace(f"FROM {_part}", f"FROM {_part}{_suffix}").replace(f"JOIN {_part}", f"JOIN {_part}{_suffix}")
+        CTE[f"{_name}{_suffix}"] = _text
+_K9 = f"SELECT forecast_month, parent_dealer_code, model_family_code, sku, n_skus, no_history_flag, round(share, 5) AS share, {_rs('sku_forecast', digits=6)} FROM "
+
+
+def _k9(found: DataFrame) -> DataFrame:
+    return found.select("forecast_month", "parent_dealer_code", "model_family_code", "sku", "n_skus", "no_history_flag", *_r("share", digits=5), *_r("sku_forecast", digits=6))
+
+
+@query("k9_disaggregate_months", _K9 + "sku_fc_as_sold")
 def k9_disaggregate_months(spark, d):
-    return _sku_forecast(spark, d).select("forecast_month", "parent_dealer_code", "model_family_code", "sku", "n_skus", "no_history_flag", *_r("share", digits=5), *_r("sku_forecast", digits=6))
+    """Families are those of the SKUs as sold, looked up before the re-key."""
+    return _k9(_sku_forecast(spark, d, _staged_sales(spark, d, "original")))
+
+
+@query("k9_current_family", _K9 + "sku_fc")
+def k9_current_family(spark, d):
+    """Families are those of the current SKUs, looked up after the re-key."""
+    return _k9(_sku_forecast(spark, d))
+
+
+@query("k9_all_months", _K9 + "sku_fc_all")
+def k9_all_months(spark, d):
+    """Every month of the history as a forecast month."""
+    return _k9(_sku_forecast(spark, d, n=None))
 
 
 @query("d34_reconcile", "SELECT forecast_month, parent_dealer_code, model_family_code, round(max(forecast), 2) AS family_forecast, round(sum(sku_forecast), 2) AS sku_total FROM sku_fc GROUP BY 1, 2, 3")
@@ -376,20 +407,24 @@ CTE["abc"] = """SELECT parent_dealer_code, model_family_code, CASE WHEN running
 
 
 def _plan_forecast(spark, d, sales):
-    """SKU forecasts of the planning month, the newest."""
-    fc = _sku_forecast(spark, d, sales)
-    return fc.join(F.broadcast(fc.agg(F.max("forecast_month").alias("forecast_month"))), "forecast_month", "left_semi")
+    """SKU forecasts of the planning month, the newest; only that month is looked back from."""
+    return _sku_forecast(spark, d, sales, n=1)
+
 
+def _plan_families(spark, d, sales):
+    """Family forecasts of the planning month, of families with an active SKU."""
+    active = C.active_skus(_skus(spark, d)).select("model_family_code").distinct()
+    return _family_forecast(sales, 1).join(active, "model_family_code", "left_semi")
 
-def _abc(forecast: DataFrame) -> DataFrame:
+
+def _abc(families: DataFrame) -> DataFrame:
     """ABC class of each family of a dealer, by the family's forecast."""
-    families = forecast.select("parent_dealer_code", "model_family_code", "forecast").distinct()
     return planning.abc_class(families, ["parent_dealer_code"], "forecast", "model_family_code").select("parent_dealer_code", "model_family_code", "abc_class")
 
 
 @query("k13_abc_class", "SELECT * FROM abc")
 def k13_abc_class(spark, d):
-    return _abc(_plan_forecast(spark, d, _staged_sales(spark, d)))
+    return _abc(_plan_families(spark, d, _staged_sales(spark, d)))
 
 
 CTE["stock_now"] = """SELECT d.parent_dealer_code, coalesce(w.current_sku, s.sku) AS sku, CAST(sum(s.closing_stock) AS BIGINT) AS closing_stock
@@ -402,8 +437,9 @@ CTE["orders_in"] = """SELECT f.parent_dealer_code, f.sku, f.model_family_code, a
 
 def _order_candidates(spark, d, sales=None):
     t = _tables(spark, d)
-    fc = staged(_plan_forecast(spark, d, _staged_sales(spark, d) if sales is None else sales), "plan-forecast")
-    fc = fc.join(_abc(fc), ["parent_dealer_code", "model_family_code"], "left")
+    sales = _staged_sales(spark, d) if sales is None else sales
+    fc = staged(_plan_forecast(spark, d, sales), "plan-forecast")
+    fc = fc.join(_abc(_plan_families(spark, d, sales)), ["parent_dealer_code", "model_family_code"], "left")
     stock = planning.stock_by_sku(view(spark, d, "stock"), mapping.successors(t["obd_mapping"], t["sku_source"]), mapping.parent_dealer(t["dealer_hierarchy"]), "2001-08-31")
     return planning.order_candidates(fc, stock, view(spark, d, "lead_time"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,6 +83,27 @@ def write_audit(checks: DataFrame, path: str) -> None:
     checks.write.mode("append").parquet(path)
 
 
+def write_audited(df: DataFrame, path: str, keys: list[str], source: str, audit_path: str) -> dict[str, int]:
+    """Write df, and append its rows, columns and duplicate keys to an audit table; the counts come from the write's own job.
+
+    Each key's second row is marked by a window over the keys and counted, with all rows, as they pass by on their way
+    to the files; nothing is read again."""
+    seen = Observation()
+    second = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.lit(0)])) == 2
+    counted = df.withColumn("__second", second).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("__second").alias("duplicate_keys"))
+    counted.drop("__second").write.mode("overwrite").parquet(path)
+    found = {"rows": seen.get["rows"], "columns": len(df.columns), "duplicate_keys": seen.get["duplicate_keys"]}
+    write_audit(from_rows(df.sparkSession, [(source, k, v) for k, v in found.items()], "source string, check_name string, value bigint"), audit_path)
+    return found
+
+
+def use_buckets(spark: SparkSession) -> None:
+    """Let this session join bucketed tables on their series and more columns without dealing them out again.
+
+    Without it Spark asks that tables be bucketed by all columns of a join."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def from_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
