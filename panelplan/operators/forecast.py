@@ -10,6 +10,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelplan.operators.sampling import bootstrap_rows
+
 
 def lag_day_sales_wide(df: DataFrame, flags: list[str], series: str, year: str, value: str) -> DataFrame:
     """One column of sales per lag-day flag, in a single pass over the panel."""
@@ -86,7 +88,9 @@ def make_samples(df: DataFrame, series: str, date: str, value: str, origins: Dat
 
 @dataclass
 class PanelForecaster:
-    """One global direct multi-step model over all series; P10, P50 and P90 from validation residuals by step."""
+    """One global direct multi-step model over all series; P10, P50 and P90 from validation residuals by step.
+
+    features: numbers, lagged, known ahead or static (ordinal codes of a series' attributes)."""
 
     series: str
     features: list[str]
@@ -94,6 +98,7 @@ class PanelForecaster:
     params: dict = field(default_factory=dict)
     model: object = None
     residuals: DataFrame | None = None
+    residual_rows: DataFrame | None = None
 
     def _vectors(self, samples: DataFrame) -> DataFrame:
         filled = samples.fillna(0, self.features)
@@ -106,6 +111,7 @@ class PanelForecaster:
         # a step holds a share of all rows: sketches of stated accuracy (ranks within 1 in 10,000), merged from the tasks
         q = F.percentile_approx(F.col("target") - F.col("forecast"), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(10_000))
         self.residuals = scored.groupBy("step").agg(q.alias("q"))  # a row per step
+        self.residual_rows = scored.select("step", self.series, "origin", (F.col("target") - F.col("forecast")).alias("residual"))
         return self
 
     def predict(self, samples: DataFrame) -> DataFrame:
@@ -113,6 +119,11 @@ class PanelForecaster:
         floor = lambda c: F.greatest(c, F.lit(0.0))
         return out.withColumns({f"p{p}": floor(F.col("forecast") + F.coalesce(F.col("q")[k], F.lit(0.0))) for k, p in enumerate((10, 50, 90))} | {"forecast": floor(F.col("forecast"))}).drop("q")
 
+    def sample(self, samples: DataFrame, draws: int = 100) -> DataFrame:
+        """Sample rows of each forecast: `draws` residuals of its step from the validation rows, added to it."""
+        rows = self.model.transform(self._vectors(samples)).select(self.series, "origin", "step", "forecast")
+        return bootstrap_rows(rows, self.residual_rows, [self.series, "origin", "step"], [self.series, "origin"], draws)
+
 
 def seasonal_naive(df: DataFrame, series: str, date: str, value: str, months: int = 12) -> DataFrame:
     """The same date a year before, as a baseline; 0 where there is none."""
