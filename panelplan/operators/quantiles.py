@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelplan.sources.scratch import staged
+from panelplan.sources.scratch import discard, staged
 
 RANGES = 512
 
@@ -39,7 +39,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str,
         counts = inside.groupBy(*group, "rank", "below", "__range").agg(F.count("*").alias("here"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
         counts = counts.withColumn("below", F.col("below") + F.coalesce(F.sum("here").over(order), F.lit(0)))  # `ranges` rows at most
         found = counts.filter((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("here"))).select(*group, "rank", "below", "lo", "hi")
-        ranks = staged(ranks.filter("lo = hi").unionByName(found), "quantile-bounds")
+        before, ranks = ranks, staged(ranks.filter("lo = hi").unionByName(found), "quantile-bounds")
+        discard(before)
+    discard(long)
     value = ranks.select(*group, "rank", F.col("lo").alias("v"))
     low = value.withColumnsRenamed({"rank": "__low", "v": "v0"})
     high = value.withColumnsRenamed({"rank": "__high", "v": "v1"})

@@ -11,7 +11,7 @@ from panelplan.operators import checks, joins, reports
 from panelplan.plans.registry import _monthly, _panel, query
 from panelplan.plans.views import ANCHORS, load, source, view
 from panelplan.sources import io
-from panelplan.sources.scratch import scratch_dir
+from panelplan.sources.scratch import scratch_dir, staged
 from panelplan.spec import PanelSpec, RunTags
 
 
@@ -19,11 +19,19 @@ def _name() -> str:
     return f"panelplan_{uuid.uuid4().hex}"
 
 
+def _read_and_dropped(found, *names: str):
+    """What a query reads from catalog tables, written, so that the tables leave the catalog."""
+    out = staged(found, "read")
+    for name in names:
+        out.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    return out
+
+
 @query("a1_a6_catalog_table", "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
 def a1_a6_catalog_table(spark, d):
     name = _name()
     io.write_table(source(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), name, path=scratch_dir(spark, "table"))
-    return io.read_table(spark, name)
+    return _read_and_dropped(io.read_table(spark, name), name)
 
 
 @query("a2_sql_parameters", "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE CAST(l_shipdate AS DATE) >= DATE '1996-01-01' AND CAST(l_shipdate AS DATE) < DATE '1997-07-01' GROUP BY 1")
@@ -70,7 +78,7 @@ def a9_panel_by_dealer(spark, d):
     sums = [F.count("*").alias("n"), F.sum("net_sales").alias("net_sales")]
     folders = spark.read.parquet(path).groupBy(F.lit("folders").alias("kind"), F.col("parent_dealer_code").cast("string").alias("key")).agg(*sums)
     buckets = io.read_table(spark, name).groupBy("series").agg(*sums).select(F.lit("buckets").alias("kind"), F.col("series").alias("key"), "n", "net_sales")
-    return joins.concat(folders, buckets)
+    return _read_and_dropped(joins.concat(folders, buckets), name)
 
 
 @query("a10_split_files", """SELECT part, count(*) AS n, min(series) AS first, max(series) AS last, sum(total) AS total FROM (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelplan.operators import checks, forecast, windows
 from panelplan.plans.registry import CTE, _mapped, _panel, _r, _rs, query
-from panelplan.plans.storage import _name
+from panelplan.plans.storage import _name, _read_and_dropped
 from panelplan.plans.views import ANCHORS, source, view
 from panelplan.sources import io
 from panelplan.sources.scratch import scratch_dir
@@ -62,7 +62,8 @@ def a9_bucketed_blend(spark, d):
         total = rows.groupBy(series_key().alias("series"), F.add_months("cal_date", months).alias("cal_date")).agg(F.sum("net_sales").alias(name))
         io.write_series_table(total, names[name], "series", 8, scratch_dir(spark, "buckets"))
     io.use_buckets(spark)
-    return bucketed_blend(io.read_table(spark, names["model"]), io.read_table(spark, names["trend"])).select("series", "cal_date", *_r("model", "blended"), *_r("share", digits=6))
+    mixed = bucketed_blend(io.read_table(spark, names["model"]), io.read_table(spark, names["trend"]))
+    return _read_and_dropped(mixed.select("series", "cal_date", *_r("model", "blended"), *_r("share", digits=6)), *names.values())
 
 
 CTE["series_days"] = "SELECT parent_dealer_code_model_family AS series, min(cal_date) AS lo, max(cal_date) AS hi FROM daily_panel GROUP BY 1"

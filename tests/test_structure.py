@@ -128,3 +128,28 @@ def test_families_as_sold_and_current_differ_where_a_successor_has_another_famil
     a, b = (registry.QUERIES[q](spark, SMALL) for q in ("k9_disaggregate_months", "k9_current_family"))
     assert a.columns == b.columns and a.count() and b.count()
     assert joins.concat(a).exceptAll(b).count() > 0
+
+
+def test_intermediate_folders_go(spark):
+    import os
+
+    from panelplan.operators.quantiles import exact_quantiles
+    from panelplan.sources.scratch import discard, staged, temporary
+
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(base))
+    kept = scratch_dir(spark, "kept")
+    with temporary(spark):
+        inner = staged(spark.range(5), "inner")
+        staged(inner.filter("id > 2"), "kept", kept)
+        assert len(set(os.listdir(base)) - before) == 2
+    assert {os.path.basename(kept)} == set(os.listdir(base)) - before and spark.read.parquet(kept).count() == 2
+    one = staged(spark.range(3), "one")
+    discard(one)
+    assert not os.path.exists(one.staged_path.removeprefix("file://"))
+    before = set(os.listdir(base))
+    found = exact_quantiles(spark.range(100).select(F.col("id").cast("double").alias("v")), [], {"m": ("v", 0.5)})
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(base)) - before}
+    assert left == {"quantile-ranks", "quantile-bounds"} and found.first()["m"] == 49.5
+    names = {t.name for t in spark.catalog.listTables()}
+    assert registry.QUERIES["a1_a6_catalog_table"](spark, SMALL).count() and {t.name for t in spark.catalog.listTables() if not t.isTemporary} <= names
