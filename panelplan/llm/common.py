@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelplan.sources.scratch import scratch_dir, staged
+from panelplan.sources.scratch import discard, scratch_dir, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return staged(df, name)
 
 
+def replaced(before: DataFrame, df: DataFrame, name: str) -> DataFrame:
+    """df written, which `before` and nothing else was needed for: its folder goes."""
+    out = written(df, name)
+    discard(before)
+    return out
+
+
 def min_component(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b): the smallest node reachable.
 
@@ -46,7 +53,7 @@ def min_component(edges: DataFrame) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        edges = written(small, "edges")
+        edges = replaced(edges, small, "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first())
         if now == last or now[0] == now[2] and not edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

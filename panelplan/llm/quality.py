@@ -27,7 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelplan.llm.common import let, top_k, written
+from panelplan.llm.common import let, replaced, top_k, written
+from panelplan.sources.scratch import discard
 
 BLANK_PATTERN = r"[\x20\x09-\x0D]+"
 WORD_CHARACTER = r"[^\x20\x09-\x0D]"
@@ -164,11 +165,13 @@ def robust_estimates(vectors: DataFrame, steps: int = MAX_STEPS) -> DataFrame:
     first = vectors.withColumn("start", F.lit(0)).groupBy(*keys).agg(*_moments()).unionByName(drawn.groupBy(*keys).agg(*_moments()))
     found = written(_estimate(first, keys, factor), "estimates")
     for _ in range(2):
-        found = _concentrated(vectors, found)
-    found = written(top_k(found, KEYS, ["logdet", "start"], 1).drop("rank"), "estimates")
+        before, found = found, _concentrated(vectors, found)
+        discard(before)
+    found = replaced(found, top_k(found, KEYS, ["logdet", "start"], 1).drop("rank"), "estimates")
     for _ in range(steps):
         now = _concentrated(vectors, found)
         moved = now.select(*KEYS, "logdet").join(found.select(*KEYS, F.col("logdet").alias("before")), KEYS).filter("logdet < before - 1e-6").limit(1).count()
+        discard(found)
         found = now
         if not moved:
             break
