@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelplan.llm.bpe import bpe_encode_checked
-from panelplan.llm.common import table, written
+from panelplan.llm.common import table
 from panelplan.llm.decontaminate import benchmark_hits
 from panelplan.llm.repeats import repeats_removed
 from panelplan.llm.simhash import near_duplicates_removed
 from panelplan.llm.toxicity import score_toxicity, train_toxicity
+from panelplan.sources.scratch import remove, scratch_dir, staged, temporary
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Passages of over 50 words are to go; words here have 5 letters and more on average, so that 51 of them take 256 bytes at least.
@@ -75,10 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents through all stages."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    """documents through all stages. What a stage wrote on its way goes when its rows are written, and those when the
+    next stage's are, so that at the end the rows before the last stage are left, which the result is read from."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = scratch_dir(spark, f"stage-{name}")
+        with temporary(spark):
+            docs = staged(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
