@@ -44,8 +44,13 @@ def ols_extrapolate(long: DataFrame, keys: list[str], year: str, value: str, yea
     return out.withColumn("prediction", F.greatest(level + F.col("slope") * target, F.lit(0.0))).drop("__sy")
 
 
-def lag_day_forecast(df: DataFrame, flags: list[str], series: str, year: str, value: str, years: list[int], target: int) -> DataFrame:
-    return ols_extrapolate(lag_day_sales_long(df, flags, series, year, value), [series, "lag_day"], year, value="sales", years=years, target=target)
+def lag_day_forecast(df: DataFrame, flags: list[str], series: str, year: str, value: str, years: list[int], target: int, dense: bool = False) -> DataFrame:
+    """The trend of each series and lag day that was ever flagged; dense: of all of them, 0 for pairs without sales."""
+    found = ols_extrapolate(lag_day_sales_long(df, flags, series, year, value), [series, "lag_day"], year, value="sales", years=years, target=target)
+    if not dense:
+        return found
+    every = df.select(series).distinct().withColumn("lag_day", F.explode(F.array(*[F.lit(f) for f in flags])))
+    return every.join(found, [series, "lag_day"], "left").fillna(0.0, ["slope", "prediction"])
 
 
 def lag_days_by_date(forecast: DataFrame, lag_map: DataFrame, series: str, date: str = "cal_date") -> DataFrame:

@@ -15,12 +15,18 @@ def sku_master(sku: DataFrame, families: DataFrame) -> DataFrame:
     return out.withColumn("sku_unique_family_code", F.concat_ws("<>", "sku", "model_family_code"))
 
 
-def successors(obd: DataFrame, skus: DataFrame, active_only: bool = True) -> DataFrame:
-    """(sku, current_sku): the smallest (active) successor of each SKU; one row for each, so that sales never multiply."""
+def successors(obd: DataFrame, skus: DataFrame, active_only: bool = True, on_multi: str = "least") -> DataFrame:
+    """(sku, current_sku): the smallest (active) successor of each SKU; one row for each, so that sales never multiply.
+
+    on_multi="error": a SKU with several (active) successors stops the job that meets it."""
     out = obd.select(F.col("previous_obd_sku").alias("sku"), F.col("current_obd_sku").alias("current_sku"))
     if active_only:
         out = out.join(skus.filter(is_active()).select(F.col("sku").alias("current_sku")), "current_sku", "left_semi")
-    return out.groupBy("sku").agg(F.min("current_sku").alias("current_sku"))
+    least, most = F.min("current_sku"), F.max("current_sku")
+    if on_multi == "error":
+        several = F.raise_error(F.concat(F.lit("several successors of "), F.col("sku"))).cast("string")
+        return out.groupBy("sku").agg(least.alias("current_sku"), most.alias("__most")).select("sku", F.when(F.col("current_sku") < F.col("__most"), several).otherwise(F.col("current_sku")).alias("current_sku"))
+    return out.groupBy("sku").agg(least.alias("current_sku"))
 
 
 def rekey_sku(df: DataFrame, next_sku: DataFrame) -> DataFrame:

@@ -14,8 +14,13 @@ COVER_DAYS = {"A": 30, "B": 25, "C": 20}
 BASES = ["sku", "family"]
 
 
-def demand_variability(monthly: DataFrame, keys: list[str], date: str = "month_of_sale", value: str = "net_sales", out: str = "variability") -> DataFrame:
-    """Sample deviation of the changes between a group's observed months; 1 for two months or fewer."""
+def demand_variability(monthly: DataFrame, keys: list[str], date: str = "month_of_sale", value: str = "net_sales", out: str = "variability", fill_gaps: bool = False) -> DataFrame:
+    """Sample deviation of the changes between a group's observed months; 1 for two months or fewer.
+
+    fill_gaps: months without a row between a group's first and last one count as months with 0."""
+    if fill_gaps:
+        spans = monthly.groupBy(*keys).agg(F.min(date).alias("__lo"), F.max(date).alias("__hi")).select(*keys, F.explode(F.sequence("__lo", "__hi", F.expr("interval 1 month"))).alias(date))
+        monthly = spans.join(monthly.select(*keys, date, value), [*keys, date], "left").fillna(0, [value])
     change = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(date))
     found = monthly.withColumn("__change", change).groupBy(*keys).agg(F.count("*").alias("n_months"), F.stddev_samp("__change").alias("__sd"))
     return found.withColumn(out, F.when(F.col("n_months") <= 2, F.lit(1.0)).otherwise(F.coalesce("__sd", F.lit(1.0)))).drop("__sd")
@@ -44,7 +49,12 @@ def running_share(df: DataFrame, part: list[str], value: str, tie: str) -> DataF
 def abc_class(df: DataFrame, part: list[str], value: str, tie: str) -> DataFrame:
     """A below 70 % of the running share, C above 90 %, else B."""
     ranked = running_share(df, part, value, tie)
-    return ranked.withColumn("abc_class", F.when(F.col("running_pct") < 70, "A").when(F.col("running_pct") > 90, "C").otherwise("B"))
+    return ranked.withColumn("abc_class", F.when(F.col("running_pct") < 70, "A").when(F.col("running_pct") > 90, "C").otherwise("B")).withColumn("abc_policy", abc_policy())
+
+
+def abc_policy() -> Column:
+    """What the classes stand for, as a text beside each class: days of cover."""
+    return F.lit(",".join(f"{k} {v}" for k, v in COVER_DAYS.items()))
 
 
 def cover_days(abc: Column) -> Column:

@@ -10,9 +10,12 @@ from panelplan.operators.ranking import with_running
 from panelplan.sources.scratch import staged
 
 
-def series_profile(df: DataFrame, series: str, date: str, value: str) -> DataFrame:
-    """Dates, counts, spread and sparsity of each series; outlier: maximum over five times the mean."""
+def series_profile(df: DataFrame, series: str, date: str, value: str, as_of: str | None = None) -> DataFrame:
+    """Dates, counts, spread and sparsity of each series; outlier: maximum over five times the mean.
+
+    as_of: only dates up to this one count, so that empty months ahead do not lower a series' share of months with sales."""
     v = F.col(value)
+    df = df.filter(F.col(date) <= F.lit(as_of).cast("date")) if as_of else df
     out = df.groupBy(series).agg(
         F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"), F.stddev_samp(value).alias("std"), F.avg(value).alias("mean"), F.count_if(v != 0).alias("n_nonzero"),

@@ -229,9 +229,9 @@ def b13_d8_fiscal_years(spark, d):
     return reports.sales_by_fiscal_year(_mapped(spark, d), C.fiscal_year(F.col("cal_date")), "net_sales")
 
 
-@query("b15_swap_covariates", """SELECT p.series, p.month_of_sale, coalesce(s.net_sales, p.net_sales) AS net_sales FROM panel p
+@query("b15_swap_covariates", """WITH one AS MATERIALIZED (SELECT series, month_of_sale, net_sales FROM panel) SELECT p.series, p.month_of_sale, coalesce(s.net_sales, p.net_sales) AS net_sales FROM one p
         LEFT JOIN (VALUES (DATE '1998-10-01', DATE '1997-10-01'), (DATE '1998-11-01', DATE '1997-11-01')) AS v(target, source) ON p.month_of_sale = v.target
-        LEFT JOIN panel s ON s.series = p.series AND s.month_of_sale = v.source""")
+        LEFT JOIN one s ON s.series = p.series AND s.month_of_sale = v.source""")
 def b15_swap_covariates(spark, d):
     pairs = spark.sql("SELECT * FROM VALUES (DATE '1998-10-01', DATE '1997-10-01'), (DATE '1998-11-01', DATE '1997-11-01') AS v(target, source)")
     return C.swap_covariates(_panel(spark, d), pairs, ["net_sales"], "series", "month_of_sale").select("series", "month_of_sale", "net_sales")
@@ -267,7 +267,8 @@ def f5_latest_row(spark, d):
     return mapping.latest_row(_monthly(spark, d), ["parent_dealer_code"], [F.col("month_of_sale").desc(), F.col("net_sales").desc(), F.col("model_family")])
 
 
-@query("f6_last_year_value", "SELECT p.series, p.month_of_sale, p.net_sales, q.net_sales AS last_year FROM panel p LEFT JOIN panel q ON p.series = q.series AND q.month_of_sale = p.month_of_sale - INTERVAL 12 MONTH")
+@query("f6_last_year_value", """WITH one AS MATERIALIZED (SELECT series, month_of_sale, net_sales, CAST(month_of_sale - INTERVAL 12 MONTH AS DATE) AS before FROM panel)
+        SELECT p.series, p.month_of_sale, p.net_sales, q.net_sales AS last_year FROM one p LEFT JOIN one q ON p.series = q.series AND q.month_of_sale = p.before""")
 def f6_last_year_value(spark, d):
     return panel.last_year_value(_panel(spark, d), ["series"], "month_of_sale", "net_sales", "last_year").select("series", "month_of_sale", "net_sales", "last_year")
 
@@ -361,9 +362,9 @@ def k9_all_months(spark, d):
     return _k9(_sku_forecast(spark, d, n=None))
 
 
-@query("d34_reconcile", "SELECT forecast_month, parent_dealer_code, model_family_code, round(max(forecast), 2) AS family_forecast, round(sum(sku_forecast), 2) AS sku_total FROM sku_fc GROUP BY 1, 2, 3")
+@query("d34_reconcile", "SELECT forecast_month, parent_dealer_code, model_family_code, round(max(forecast), 2) AS family_forecast, round(sum(sku_forecast), 2) AS sku_total, round(abs(max(forecast) - sum(sku_forecast)), 2) + 0.0 AS difference FROM sku_fc GROUP BY 1, 2, 3")
 def d34_reconcile(spark, d):
-    return disagg.reconcile(_sku_forecast(spark, d)).select("forecast_month", "parent_dealer_code", "model_family_code", *_r("family_forecast", "sku_total", digits=2))
+    return disagg.reconcile(_sku_forecast(spark, d)).select("forecast_month", "parent_dealer_code", "model_family_code", *_r("family_forecast", "sku_total", "difference", digits=2))
 
 
 # Planning ------------------------------------------------------------------------------------
@@ -427,6 +428,23 @@ def k13_abc_class(spark, d):
     return _abc(_plan_families(spark, d, _staged_sales(spark, d)))
 
 
+@query("k13_abc_policy", "SELECT parent_dealer_code, model_family_code, abc_class, 'A 30,B 25,C 20' AS abc_policy FROM abc")
+def k13_abc_policy(spark, d):
+    """The class and, beside it, the text that a report has in its place."""
+    out = planning.abc_class(_plan_families(spark, d, _staged_sales(spark, d)), ["parent_dealer_code"], "forecast", "model_family_code")
+    return out.select("parent_dealer_code", "model_family_code", "abc_class", "abc_policy")
+
+
+@query("k12_filled_gaps", f"""WITH s AS (SELECT parent_dealer_code, model_family_code, sku, unnest(generate_series(CAST(min(month_of_sale) AS TIMESTAMP), CAST(max(month_of_sale) AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM year_sales GROUP BY 1, 2, 3),
+        x AS (SELECT s.parent_dealer_code, s.model_family_code, s.sku, m, coalesce(net_sales, 0) AS v FROM s LEFT JOIN year_sales y ON y.parent_dealer_code = s.parent_dealer_code AND y.model_family_code = s.model_family_code AND y.sku = s.sku AND y.month_of_sale = CAST(s.m AS DATE)),
+        c AS (SELECT *, v - lag(v) OVER (PARTITION BY parent_dealer_code, model_family_code, sku ORDER BY m) AS c FROM x)
+        SELECT parent_dealer_code, model_family_code, sku, n_months, {_rs('variability')} FROM (SELECT parent_dealer_code, model_family_code, sku, count(*) AS n_months, CASE WHEN count(*) <= 2 THEN 1.0 ELSE coalesce(stddev_samp(c), 1.0) END AS variability FROM c GROUP BY 1, 2, 3)""")
+def k12_filled_gaps(spark, d):
+    """Variability with months without a sale as 0."""
+    out = planning.demand_variability(_year_sales(_staged_sales(spark, d)), ["parent_dealer_code", "model_family_code", "sku"], fill_gaps=True)
+    return out.select("parent_dealer_code", "model_family_code", "sku", "n_months", *_r("variability"))
+
+
 CTE["stock_now"] = """SELECT d.parent_dealer_code, coalesce(w.current_sku, s.sku) AS sku, CAST(sum(s.closing_stock) AS BIGINT) AS closing_stock
     FROM stock s LEFT JOIN following w ON s.sku = w.sku JOIN dealers d ON s.dealer_code = d.dealer_code GROUP BY 1, 2"""
 CTE["orders_in"] = """SELECT f.parent_dealer_code, f.sku, f.model_family_code, a.abc_class, f.sku_forecast, coalesce(t.closing_stock, 0) AS closing_stock, l.min_lead_time, l.avg_lead_time, l.max_lead_time
@@ -465,7 +483,8 @@ CTE["orders_each"] = f"""SELECT o.*, s.service_level, s.z, b.basis, coalesce(CAS
     LEFT JOIN family_variability w ON w.parent_dealer_code = o.parent_dealer_code AND w.model_family_code = o.model_family_code
     CROSS JOIN {_Z} CROSS JOIN (VALUES ('sku'), ('family')) AS b(basis) WHERE o.max_lead_time IS NOT NULL"""
 CTE["order_rows"] = f"""SELECT service_level, basis, parent_dealer_code, sku, safety, greatest(lead_min + safety + sku_forecast - closing_stock, 0) AS order_min, greatest(lead_avg + safety + sku_forecast - closing_stock, 0) AS order_avg,
-    greatest(lead_max + safety + sku_forecast - closing_stock, 0) AS order_max, greatest(lead_max + safety - closing_stock, 0) AS order_b_max
+    greatest(lead_max + safety + sku_forecast - closing_stock, 0) AS order_max, greatest(lead_min + safety - closing_stock, 0) AS order_b_min, greatest(lead_avg + safety - closing_stock, 0) AS order_b_avg, greatest(lead_max + safety - closing_stock, 0) AS order_b_max,
+    lead_min + safety AS reorder_min, lead_avg + safety AS reorder_avg, lead_max + safety AS reorder_max, lead_min + safety + sku_forecast AS total_min, lead_avg + safety + sku_forecast AS total_avg, lead_max + safety + sku_forecast AS total_max
     FROM (SELECT *, {_SAFETY} AS safety, ceil(sku_forecast * min_lead_time / 30) AS lead_min, ceil(sku_forecast * avg_lead_time / 30) AS lead_avg, ceil(sku_forecast * max_lead_time / 30) AS lead_max FROM orders_each)"""
 
 
@@ -478,9 +497,10 @@ def _orders(spark, d):
 
 
 @query("k18_order_sweep", """SELECT service_level, basis, parent_dealer_code, sku, round(safety, 3) AS safety_stock, round(order_min, 3) AS order_min, round(order_avg, 3) AS order_avg,
-        round(order_max, 3) AS order_max, round(order_b_max, 3) AS order_b_max FROM order_rows""")
+        round(order_max, 3) AS order_max, round(order_b_min, 3) AS order_b_min, round(order_b_avg, 3) AS order_b_avg, round(order_b_max, 3) AS order_b_max, round(reorder_min, 3) AS reorder_min, round(reorder_avg, 3) AS reorder_avg,
+        round(reorder_max, 3) AS reorder_max, round(total_min, 3) AS total_min, round(total_avg, 3) AS total_avg, round(total_max, 3) AS total_max FROM order_rows""")
 def k18_order_sweep(spark, d):
-    return _orders(spark, d).select("service_level", "basis", "parent_dealer_code", "sku", *_r("safety_stock", "order_min", "order_avg", "order_max", "order_b_max", digits=3))
+    return _orders(spark, d).select("service_level", "basis", "parent_dealer_code", "sku", *_r("safety_stock", *[f"{name}_{k}" for name in ("order", "order_b", "reorder", "total") for k in ("min", "avg", "max")], digits=3))
 
 
 #: As a table of recommendations would have them: several run dates, one row for each SKU and date.
@@ -512,19 +532,19 @@ _APES = "abs(actual - model_a) / abs(actual) * 100 AS ape_a, abs(actual - model_
 
 
 def _by_month_sql(extra: str) -> str:
-    return f"""SELECT month_of_sale, n_series, {_rs('mape_a', 'mape_b', 'median_a', 'median_b')}, CASE WHEN mape_a < mape_b THEN 'a' ELSE 'b' END AS winner FROM (
+    return f"""SELECT month_of_sale, n_series, {_rs('mape_a', 'mape_b', 'median_a', 'median_b')}, CASE WHEN mape_a < mape_b THEN 'a' ELSE 'b' END AS winner, round(abs(mape_a - mape_b), 4) + 0.0 AS gap FROM (
         SELECT month_of_sale, count(DISTINCT series) AS n_series, avg(ape_a) AS mape_a, avg(ape_b) AS mape_b, median(ape_a) AS median_a, median(ape_b) AS median_b
         FROM (SELECT *, {_APES} FROM scored WHERE actual <> 0 {extra} AND model_a IS NOT NULL) GROUP BY 1)"""
 
 
 @query("e1_compare_by_month", _by_month_sql(""))
 def e1_compare_by_month(spark, d):
-    return metrics.compare_by_month(_scored(spark, d).filter("model_a IS NOT NULL"), "model_a", "model_b").select("month_of_sale", "n_series", *_r("mape_a", "mape_b", "median_a", "median_b"), "winner")
+    return metrics.compare_by_month(_scored(spark, d).filter("model_a IS NOT NULL"), "model_a", "model_b").select("month_of_sale", "n_series", *_r("mape_a", "mape_b", "median_a", "median_b"), "winner", *_r("gap"))
 
 
 @query("e2_compare_large", _by_month_sql("AND actual >= 20"))
 def e2_compare_large(spark, d):
-    return metrics.compare_by_month(_scored(spark, d).filter("model_a IS NOT NULL"), "model_a", "model_b", min_actual=20).select("month_of_sale", "n_series", *_r("mape_a", "mape_b", "median_a", "median_b"), "winner")
+    return metrics.compare_by_month(_scored(spark, d).filter("model_a IS NOT NULL"), "model_a", "model_b", min_actual=20).select("month_of_sale", "n_series", *_r("mape_a", "mape_b", "median_a", "median_b"), "winner", *_r("gap"))
 
 
 CTE["modelled"] = """SELECT s.series, s.month_of_sale, s.actual, t.sku_type, m.model, CASE m.model WHEN 'model_a' THEN s.model_a ELSE s.model_b END AS forecast
@@ -546,10 +566,11 @@ def e3_segment_metrics(spark, d):
     return _segments(spark, d).select("model", "level", "value", "n", *_r("mae", "rmse", "mape", "wmape", "bias_pct"))
 
 
-@query("e4_verdicts", f"""SELECT level, value, {_rs('wmape_a', 'wmape_b')}, CASE WHEN coalesce(abs(wmape_a - wmape_b) / nullif(greatest(wmape_a, wmape_b), 0), 0) < 0.05 THEN 'close' WHEN wmape_a < wmape_b THEN 'model_a' ELSE 'model_b' END AS verdict
+@query("e4_verdicts", f"""SELECT level, value, {_rs('wmape_a', 'wmape_b')}, CASE WHEN coalesce(abs(wmape_a - wmape_b) / nullif(greatest(wmape_a, wmape_b), 0), 0) < 0.05 THEN 'close' WHEN wmape_a < wmape_b THEN 'model_a' ELSE 'model_b' END AS verdict,
+        round(abs(wmape_a - wmape_b) / nullif(greatest(wmape_a, wmape_b), 0), 4) + 0.0 AS relative_gap
         FROM (SELECT level, value, max(CASE WHEN model = 'model_a' THEN wmape END) AS wmape_a, max(CASE WHEN model = 'model_b' THEN wmape END) AS wmape_b FROM segments GROUP BY 1, 2)""")
 def e4_verdicts(spark, d):
-    return metrics.verdicts(_segments(spark, d), "model_a", "model_b").select("level", "value", *_r("wmape_a", "wmape_b"), "verdict")
+    return metrics.verdicts(_segments(spark, d), "model_a", "model_b").select("level", "value", *_r("wmape_a", "wmape_b"), "verdict", *_r("relative_gap"))
 
 
 CTE["one_model"] = "SELECT series, month_of_sale, actual, model_a AS forecast FROM scored WHERE model_a IS NOT NULL"
@@ -687,10 +708,11 @@ def d28_flatness(spark, d):
 @query("d29_seasonality_check", """WITH w AS (SELECT place, max(now) AS now, max(before) AS before FROM (
           SELECT cal_date - DATE '1998-09-01' AS place, sum(net_sales) AS now, NULL AS before FROM mapped WHERE cal_date BETWEEN DATE '1998-09-01' AND DATE '1998-12-31' GROUP BY 1
           UNION ALL SELECT cal_date - DATE '1997-09-01', NULL, sum(net_sales) FROM mapped WHERE cal_date BETWEEN DATE '1997-09-01' AND DATE '1997-12-31' GROUP BY 1) GROUP BY 1)
-        SELECT sum(now) AS total_now, max(now) AS peak_now, round(avg(now), 4) AS mean_now, sum(before) AS total_before, max(before) AS peak_before, round(avg(before), 4) AS mean_before, round((sum(now) - sum(before)) * 100 / sum(before), 4) AS yoy_pct FROM w""")
+        SELECT sum(now) AS total_now, max(now) AS peak_now, round(avg(now), 4) AS mean_now, sum(before) AS total_before, max(before) AS peak_before, round(avg(before), 4) AS mean_before, round((sum(now) - sum(before)) * 100 / sum(before), 4) AS yoy_pct,
+        CAST(arg_max(place, row(now, place)) FILTER (WHERE now IS NOT NULL) AS INT) AS peak_at_now, CAST(arg_max(place, row(before, place)) FILTER (WHERE before IS NOT NULL) AS INT) AS peak_at_before FROM w""")
 def d29_seasonality_check(spark, d):
     out = profile.seasonality_check(_mapped(spark, d), "cal_date", "net_sales", ("1998-09-01", "1998-12-31"))
-    return out.select("total_now", "peak_now", *_r("mean_now"), "total_before", "peak_before", *_r("mean_before", "yoy_pct"))
+    return out.select("total_now", "peak_now", *_r("mean_now"), "total_before", "peak_before", *_r("mean_before", "yoy_pct"), "peak_at_now", "peak_at_before")
 
 
 @query("d30_sparsity", """SELECT round(median(zero_share), 4) AS median_zero_share, round(quantile_cont(zero_share, 0.9), 4) AS p90_zero_share, round(median(mean), 4) AS median_mean, round(median(peak / nullif(mean, 0)), 4) AS median_peak_to_mean
@@ -700,13 +722,14 @@ def d30_sparsity(spark, d):
 
 
 @query("d31_level_check", """WITH t AS (SELECT cal_date, sum(net_sales) AS total FROM mapped GROUP BY 1), l AS (SELECT max(cal_date) AS last FROM t WHERE cal_date < DATE '1998-06-01')
-        SELECT round(avg(CASE WHEN cal_date < DATE '1998-06-01' AND last - cal_date < 365 THEN total END), 4) AS mean_long, round(avg(CASE WHEN cal_date < DATE '1998-06-01' AND last - cal_date < 90 THEN total END), 4) AS mean_short,
-               round(avg(CASE WHEN cal_date >= DATE '1997-06-01' AND cal_date < DATE '1997-09-01' THEN total END), 4) AS predicted, round(avg(CASE WHEN cal_date >= DATE '1998-06-01' AND cal_date < DATE '1998-09-01' THEN total END), 4) AS sold FROM t, l""")
+        SELECT round(ml, 4) AS mean_long, round(ms, 4) AS mean_short, round(p, 4) AS predicted, round(s, 4) AS sold, round(p / ml, 4) AS predicted_to_long, round(p / ms, 4) AS predicted_to_short, round(p / s, 4) AS predicted_to_sold FROM (
+          SELECT avg(CASE WHEN cal_date < DATE '1998-06-01' AND last - cal_date < 365 THEN total END) AS ml, avg(CASE WHEN cal_date < DATE '1998-06-01' AND last - cal_date < 90 THEN total END) AS ms,
+                 avg(CASE WHEN cal_date >= DATE '1997-06-01' AND cal_date < DATE '1997-09-01' THEN total END) AS p, avg(CASE WHEN cal_date >= DATE '1998-06-01' AND cal_date < DATE '1998-09-01' THEN total END) AS s FROM t, l)""")
 def d31_level_check(spark, d):
     m = _mapped(spark, d)
     part = lambda lo, hi: C.between_dates(m, "cal_date", lo, hi)
     out = profile.level_check(m.filter("cal_date < DATE '1998-06-01'"), part("1997-06-01", "1997-09-01"), part("1998-06-01", "1998-09-01"), "cal_date", "net_sales")
-    return out.select(*_r("mean_long", "mean_short", "predicted", "sold"))
+    return out.select(*_r("mean_long", "mean_short", "predicted", "sold", "predicted_to_long", "predicted_to_short", "predicted_to_sold"))
 
 
 @query("d32_mom_yoy", f"""WITH m AS (SELECT month_of_sale, sum(net_sales) AS total FROM panel GROUP BY 1)

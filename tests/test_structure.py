@@ -153,3 +153,28 @@ def test_intermediate_folders_go(spark):
     assert left == {"quantile-ranks", "quantile-bounds"} and found.first()["m"] == 49.5
     names = {t.name for t in spark.catalog.listTables()}
     assert registry.QUERIES["a1_a6_catalog_table"](spark, SMALL).count() and {t.name for t in spark.catalog.listTables() if not t.isTemporary} <= names
+
+
+def test_options_of_planning_profiles_and_trends(spark):
+    from panelplan.operators import forecast, mapping, planning, profile
+
+    obd = spark.createDataFrame([("a", "b"), ("a", "c"), ("d", "e")], "previous_obd_sku string, current_obd_sku string")
+    skus = spark.createDataFrame([(x, "Active") for x in "bce"], "sku string, skustatus string")
+    assert {tuple(r) for r in mapping.successors(obd, skus).collect()} == {("a", "b"), ("d", "e")}
+    with pytest.raises(Exception, match="several successors of a"):
+        mapping.successors(obd, skus, on_multi="error").collect()
+    assert mapping.successors(obd.filter("current_obd_sku <> 'c'"), skus, on_multi="error").count() == 2
+
+    months = spark.createDataFrame([("s", dt.date(2020, m, 1), float(v)) for m, v in ((1, 5), (2, 1), (5, 3))], "k string, month_of_sale date, net_sales double")
+    plain, filled = (planning.demand_variability(months, ["k"], fill_gaps=f).first() for f in (False, True))
+    assert (plain["n_months"], filled["n_months"]) == (3, 5) and filled["variability"] == pytest.approx(2.9860788, abs=1e-6)
+
+    ahead = months.unionByName(spark.createDataFrame([("s", dt.date(2020, m, 1), 0.0) for m in range(6, 12)], months.schema))
+    share = lambda as_of: profile.series_profile(ahead, "k", "month_of_sale", "net_sales", as_of).first()["nonzero_share"]
+    assert share("2020-05-31") == 1.0 and share(None) == pytest.approx(3 / 9)
+
+    days = spark.createDataFrame([("x", 2000, 1, 0, 4.0), ("x", 2001, 1, 0, 6.0), ("y", 2001, 0, 0, 1.0)], "series string, year int, f1 int, f2 int, v double")
+    few, every = (forecast.lag_day_forecast(days, ["f1", "f2"], "series", "year", "v", [2000, 2001], 2002, dense=x) for x in (False, True))
+    assert few.count() == 1 and {(r["series"], r["lag_day"], r["prediction"]) for r in every.collect()} == {("x", "f1", 8.0), ("x", "f2", 0.0), ("y", "f1", 0.0), ("y", "f2", 0.0)}
+    classes = planning.abc_class(spark.createDataFrame([("d", "f", 10.0)], "p string, f string, v double"), ["p"], "v", "f").first()
+    assert (classes["abc_class"], classes["abc_policy"]) == ("C", "A 30,B 25,C 20")
