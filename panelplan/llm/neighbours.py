@@ -49,6 +49,8 @@ BLOCK_DIMS = 16
 EPSILON = 2.1
 LIST_BLOCK = 4096
 QUERY_BLOCK = 1024
+#: Queries whose lists are put into order at a time: PROBE_ROWS * LISTS numbers at most.
+PROBE_ROWS = 256
 
 
 def usable(vector: Column) -> Column:
@@ -196,7 +198,7 @@ def _probe(held, dims: int, probes: int, enough: int):
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, sizes = held.value
-        for batch in batches:
+        for batch in (whole.slice(at, PROBE_ROWS) for whole in batches for at in range(0, whole.num_rows, PROBE_ROWS)):
             v = _array(batch.column("v"), dims)
             order = nearest(v, centres, len(centres)) if len(v) else np.empty((0, len(centres)), np.int64)
             short = np.cumsum(sizes[order], axis=1) - sizes[order] < enough
