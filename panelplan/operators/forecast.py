@@ -103,7 +103,7 @@ class PanelForecaster:
     params: dict = field(default_factory=dict)
     model: object = None
     residuals: DataFrame | None = None
-    residual_rows: DataFrame | None = None
+    scored: DataFrame | None = None
 
     def _vectors(self, samples: DataFrame) -> DataFrame:
         filled = samples.fillna(0, self.features)
@@ -116,7 +116,7 @@ class PanelForecaster:
         # a step holds a share of all rows: sketches of stated accuracy (ranks within 1 in 10,000), merged from the tasks
         q = F.percentile_approx(F.col("target") - F.col("forecast"), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(10_000))
         self.residuals = scored.groupBy("step").agg(q.alias("q"))  # a row per step
-        self.residual_rows = scored.select("step", self.series, "origin", (F.col("target") - F.col("forecast")).alias("residual"))
+        self.scored = scored
         return self
 
     def predict(self, samples: DataFrame) -> DataFrame:
@@ -127,7 +127,8 @@ class PanelForecaster:
     def sample(self, samples: DataFrame, draws: int = 100) -> DataFrame:
         """Sample rows of each forecast: `draws` residuals of its step from the validation rows, added to it."""
         rows = self.model.transform(self._vectors(samples)).select(self.series, "origin", "step", "forecast")
-        return bootstrap_rows(rows, self.residual_rows, [self.series, "origin", "step"], [self.series, "origin"], draws)
+        residuals = self.scored.select("step", self.series, "origin", (F.col("target") - F.col("forecast")).alias("residual"))
+        return bootstrap_rows(rows, residuals, [self.series, "origin", "step"], [self.series, "origin"], draws)
 
 
 def seasonal_naive(df: DataFrame, series: str, date: str, value: str, months: int = 12) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelplan.sources.scratch import discard, staged
 
-RANGES = 512
+RANGES = 2048
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], ranges: int = RANGES) -> DataFrame:
