@@ -75,7 +75,9 @@ def mcd_by_force(x: np.ndarray, starts: int = 60) -> tuple[np.ndarray, np.ndarra
     return of(x[near], quality.REWEIGHT)
 
 
-def test_estimates_equal_many_random_starts(spark):
+@pytest.mark.parametrize("rows", [quality.BROADCAST_ROWS, 0])
+def test_estimates_equal_many_random_starts(spark, monkeypatch, rows):
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", rows)
     rng = np.random.default_rng(3)
     groups = {}
     for name, n, bad in (("a", 400, 80), ("b", 150, 0), ("c", 90, 18)):
