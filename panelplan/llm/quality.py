@@ -36,6 +36,7 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 UNIT, BINS, COVER, STARTS, ELEMENTS, MAX_STEPS = 1024, 32, 75, 5, 8, 30
+BROADCAST_ROWS, SALTS = 50_000, 32
 #: Standard deviations added to those of: log of words, log of mean word length, roots of the shares of symbols, repeated lines, repeated words.
 RIDGE = (0.5, 0.1, 0.05, 0.15, 0.15)
 REWEIGHT, CUTOFF = 0.975, 0.99999
@@ -135,8 +136,15 @@ def _estimate(sums: DataFrame, keys: list[str], factor: float) -> DataFrame:
 
 
 def _with_distance(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
-    """vectors with d2, the squared Mahalanobis distance from each estimate of their group; the optimizer knows the size of both."""
-    out = vectors.join(estimates, KEYS)
+    """vectors with d2, the squared Mahalanobis distance from each estimate of their group.
+
+    estimates is a written table. It is broadcast if it has BROADCAST_ROWS rows at most; else groups are joined in
+    SALTS shares, by the vector's hash, as one group may hold most vectors."""
+    if estimates.count() <= BROADCAST_ROWS:
+        out = vectors.join(F.broadcast(estimates), KEYS)
+    else:
+        shares = estimates.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = vectors.withColumn("__share", F.pmod(F.xxhash64(*X), F.lit(SALTS)).cast("int")).join(shares, [*KEYS, "__share"]).drop("__share")
     for i, x in enumerate(X):
         left = F.col(x) / UNIT - F.col(f"m{i}")
         for k in range(i):
