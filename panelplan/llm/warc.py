@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelplan.llm.common import shared_dir, written
+from panelplan.llm.common import replaced, shared_dir, written
 from panelplan.llm.files import new_file, random_access
 
 MIN_BYTES = 100
 SPLIT_BYTES = 4 << 20
+#: Bytes of equal payloads that one task takes, and of how many payloads the copies are spread.
+SHARE_BYTES, WIDEST = 16 << 20, 10_000
 MAGIC = b"\x1f\x8b\x08"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PIECE = 1 << 20
@@ -64,15 +66,30 @@ def _write(folder: str, date: str):
     return over
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """Write pages as WARC files; returns their manifest (path, n_bytes, n_records)."""
+def _joined_in_shares(rows: DataFrame, first: DataFrame, widest: int = WIDEST) -> DataFrame:
+    """rows with `first` of their key, null where there is none. Rows of a key with several shares are spread over them.
+
+    Only the widest keys are spread: so many that what is broadcast has a bound, and a key that is
+    not among them holds no more than one part in `widest` of all bytes."""
+    wide = first.filter("shares > 1").orderBy(F.desc("shares"), "key").limit(widest).select("key", F.col("shares").alias("__wide"))
+    spread = lambda df: df.join(F.broadcast(wide), "key", "left").withColumn("__wide", F.coalesce("__wide", F.lit(1).cast("long")))
+    ours = spread(rows).withColumn("__share", F.pmod(F.xxhash64("page_id", "url"), "__wide")).drop("__wide")
+    theirs = spread(first).select("key", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__wide") - 1)).alias("__share"))
+    return ours.join(theirs, ["key", "__share"], "left")
+
+
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, date: str = "2000-01-01T00:00:00Z", share_bytes: int = SHARE_BYTES) -> DataFrame:
+    """Write pages as WARC files; returns their manifest (path, n_bytes, n_records).
+
+    share_bytes: copies of one payload that take more than this together are dealt to as many tasks as they need."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    first = rows.filter(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
+    groups = rows.filter(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.max("n_bytes").alias("size"))
+    first = written(groups.filter("n > 1 and first is not null").select("digest", "first", F.ceil(F.col("n") * F.col("size") / share_bytes).alias("shares")), "warc-copies")
     # payloads too small for a revisit get keys of their own, so that all empty pages do not meet in one task
     key = F.when(F.col("n_bytes") >= min_bytes, F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string"))
-    joined = rows.withColumn("key", key).join(first.withColumnRenamed("digest", "key"), "key", "left")
+    joined = _joined_in_shares(rows.withColumn("key", key), first.withColumnRenamed("digest", "key"))
     original = F.col("first").isNull() | F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     out = joined.select(
         "page_id", "url", "n_bytes", "digest",
@@ -80,7 +97,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         F.when(original, F.col("payload")).otherwise(F.lit(b"")).alias("payload"),
         F.when(~original, F.col("first")).alias("refers_to"),
     )
-    return written(out.mapInArrow(_write(folder, date), "path string, n_bytes long, n_records long"), "warc-manifest")
+    return replaced(first, out.mapInArrow(_write(folder, date), "path string, n_bytes long, n_records long"), "warc-manifest")
 
 
 class _Source:
