@@ -33,9 +33,17 @@ def _expected(rows):
 
 
 @pytest.mark.parametrize("share", [500, 10_000, 1 << 24])
-def test_shares_of_frequent_payloads_give_the_same_records(spark, share):
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_shares_of_frequent_payloads_give_the_same_records(spark, share, threshold):
+    """Both where the table of firsts is small enough for Spark to broadcast it, and where payloads are shuffled by share."""
     pages, rows = _pages(spark)
-    files = warc.write_warc(pages, shared_dir(spark, "warc"), share_bytes=share)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, threshold)
+    try:
+        files = warc.write_warc(pages, shared_dir(spark, "warc"), share_bytes=share)
+    finally:
+        spark.conf.set(name, before)
     got = [(r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(files).collect()]
     assert sorted(got, key=str) == _expected(rows)
 
