@@ -11,6 +11,7 @@ import math
 import random
 from collections.abc import Iterable
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -53,6 +54,34 @@ def squared_error(gram: np.ndarray, coefficients: np.ndarray) -> float:
     return float(b @ gram @ b)
 
 
+#: Digits of the errors that settings are ranked by.
+DIGITS = 100
+
+
+def fold_error(before: np.ndarray, gram: np.ndarray, ridge: float, chosen: list[int]) -> Decimal:
+    """The sum of squared errors over a fold's matrix of the coefficients that the matrix before it gives, to DIGITS digits.
+
+    Strengths far below the features' squares change the error by less than a double's rounding; in doubles, that would choose the best of them."""
+    at = [0, *[1 + k for k in chosen]]
+    if not (np.isfinite(before).all() and np.isfinite(gram).all()):
+        return Decimal(squared_error(gram, solve(before, ridge, chosen)))
+    with localcontext(prec=DIGITS):
+        rows = [[Decimal(float(before[i, j])) + (Decimal(ridge) if i == j and i else 0) for j in at] + [Decimal(float(before[i, -1]))] for i in at]
+        least = max(abs(v) for row in rows for v in row).scaleb(-DIGITS // 2)
+        for k in range(len(at)):  # elimination, the greatest pivot first
+            top = max(range(k, len(at)), key=lambda i: abs(rows[i][k]))
+            rows[k], rows[top] = rows[top], rows[k]
+            if abs(rows[k][k]) <= least:
+                return Decimal(squared_error(gram, solve(before, ridge, chosen)))  # singular
+            for i in range(len(at)):
+                if i != k and rows[i][k]:
+                    part = rows[i][k] / rows[k][k]
+                    rows[i] = [a - part * b for a, b in zip(rows[i], rows[k])]
+        b = [*[-row[-1] / row[k] for k, row in enumerate(rows)], Decimal(1)]
+        at = [*at, len(gram) - 1]
+        return sum((b[i] * b[j] * Decimal(float(gram[p, q])) for i, p in enumerate(at) for j, q in enumerate(at)), Decimal(0))
+
+
 @dataclass(frozen=True)
 class Setting:
     ridge: float
@@ -68,17 +97,19 @@ def sampled_settings(n: int, seed: int, subsets: list[tuple[str, ...]], ridge: t
 def sweep_ridge(samples: DataFrame, fold: str, features: list[str], target: str, settings: list[Setting]) -> tuple[DataFrame, Setting]:
     """Each setting's error over all folds but the first, and the best setting (least error, then first in the list).
 
-    Folds are in time's order: a fold is forecast by what the folds before it teach. One job, whatever the number of settings."""
+    Folds are in time's order: a fold is forecast by what the folds before it teach. One job, whatever the number of settings.
+    All settings share the sums of that job, so what those lost in rounding does not change which is best."""
     sums = sorted(gram_sums(samples, fold, features, target).collect(), key=lambda r: r[fold])  # a row for each fold
     size = len(features) + 2
     grams = [as_matrix(r["g"], size) for r in sums]
-    before, rows = np.cumsum(grams, axis=0) if grams else [], []
+    before, rows, errors = np.cumsum(grams, axis=0) if grams else [], [], []
     n = sum(r["n"] for r in sums[1:])
     for k, s in enumerate(settings):
         chosen = [features.index(f) for f in s.features]
-        error = sum(squared_error(grams[i], solve(before[i - 1], s.ridge, chosen)) for i in range(1, len(grams)))
-        rows.append((k, s.ridge, list(s.features), n, math.sqrt(max(error, 0.0) / n) if n else None))
-    best = min(rows, key=lambda r: (r[4] is None, r[4], r[0])) if rows else None
+        with localcontext(prec=DIGITS):
+            errors.append(sum((fold_error(before[i - 1], grams[i], s.ridge, chosen) for i in range(1, len(grams))), Decimal(0)))
+        rows.append((k, s.ridge, list(s.features), n, math.sqrt(max(float(errors[-1]), 0.0) / n) if n else None))
+    best = min(rows, key=lambda r: (errors[r[0]].is_nan(), 0 if errors[r[0]].is_nan() else errors[r[0]], r[0])) if rows else None
     table = samples.sparkSession.createDataFrame([(*r, r[0] == best[0]) for r in rows], "setting int, ridge double, features array<string>, n bigint, rmse double, best boolean")
     return table, settings[best[0]] if best else None
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -108,6 +109,28 @@ def test_sweep_of_fifty_settings_is_one_job(spark, samples):
     assert [r["rmse"] for r in none.collect()] == [None, None] and nothing == settings[0]
 
 
+def test_best_of_settings_that_doubles_cannot_tell_apart(spark):
+    rng = random.Random(0)
+    data = [(fold, float(x := rng.randrange(3000, 30000)), float(rng.randrange(30000) + x // 4)) for fold in (2000, 2001, 2002) for _ in range(60)]
+    settings = ridge.sampled_settings(50, 7, [("x",)], ridge=(0.01, 100.0))
+
+    def error(strength):
+        total = 0
+        for fold in (2001, 2002):
+            known, asked = ([(Fraction(x), Fraction(y)) for f, x, y in data if keep(f)] for keep in (lambda f: f < fold, lambda f: f == fold))
+            sx, sy = (sum(r[k] for r in known) for k in (0, 1))
+            b = (sum(x * y for x, y in known) - sx * sy / len(known)) / (sum(x * x for x, _ in known) - sx * sx / len(known) + Fraction(strength))
+            total += sum((y - (sy - b * sx) / len(known) - b * x) ** 2 for x, y in asked)
+        return total
+
+    want = min(range(50), key=lambda k: error(settings[k].ridge))
+    table, best = ridge.sweep_ridge(spark.createDataFrame(data, "fold int, x double, target double").coalesce(1), "fold", ["x"], "target", settings)
+    assert [r["setting"] for r in table.collect() if r["best"]] == [want] and best == settings[want]
+    twice = spark.createDataFrame(data, "fold int, x double, target double").withColumn("z", F.col("x"))  # no single solution
+    found = ridge.sweep_ridge(twice, "fold", ["x", "z"], "target", [ridge.Setting(0.0, ("x",)), ridge.Setting(0.0, ("x", "z"))])[0].collect()
+    assert found[0]["rmse"] == pytest.approx(found[1]["rmse"])
+
+
 def test_origins_and_what_they_know(samples):
     grid = [r["origin"] for r in ridge.origin_grid(samples, "origin", "2001-02-10", 4, 3).collect()]
     assert sorted(grid) == [dt.date(2001, 3, 1), dt.date(2001, 7, 1), dt.date(2001, 11, 1), dt.date(2002, 3, 1)]
