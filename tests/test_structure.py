@@ -178,3 +178,32 @@ def test_options_of_planning_profiles_and_trends(spark):
     assert few.count() == 1 and {(r["series"], r["lag_day"], r["prediction"]) for r in every.collect()} == {("x", "f1", 8.0), ("x", "f2", 0.0), ("y", "f1", 0.0), ("y", "f2", 0.0)}
     classes = planning.abc_class(spark.createDataFrame([("d", "f", 10.0)], "p string, f string, v double"), ["p"], "v", "f").first()
     assert (classes["abc_class"], classes["abc_policy"]) == ("C", "A 30,B 25,C 20")
+
+
+def test_sku_forecasts_are_made_last_and_not_shuffled(spark):
+    plan = plan_of(registry.QUERIES["k9_all_months"](spark, SMALL))
+    above = plan[: plan.index("Generate explode(months")] if "Generate explode(months" in plan else plan
+    assert "Exchange" not in above and "Window" not in above and "Sort" not in above
+
+
+def test_sku_forecasts_equal_a_plain_loop(spark):
+    import random
+
+    from panelplan.operators import disagg
+
+    rng, month = random.Random(3), lambda k: dt.date(2020 + k // 12, 1 + k % 12, 1)
+    skus = [(f"f{k % 3}", f"s{k:02}", "inactive" if k % 5 == 0 else "Active") for k in range(24)] + [("none", "s99", "inactive"), ("one", "s98", "active")]
+    sales = {(d, f, s, m): float(rng.randrange(-1, 9)) for d in "ab" for f, s, _ in skus for m in range(9) if rng.random() < 0.3}
+    forecasts = {(m, d, f): float(m + 1) for m in (3, 4, 8, 11) for d in ("a", "b", "c", None) for f in ("f0", "f1", "f2", "none", "one") if rng.random() < 0.8}
+    want = set()
+    for (m, d, f), forecast in forecasts.items():
+        own = {s: sum(sales.get((d, f, s, m - k), 0.0) for k in (1, 2, 3)) for x, s, status in skus if (x, status.lower()) == (f, "active")}
+        total = sum(own.values())
+        for s, v in own.items():
+            share = 1 / len(own) if total == 0 else v / total
+            want.add((month(m), d, f, s, forecast, v, total, len(own), total == 0, round(share, 5), round(forecast if len(own) == 1 else forecast * round(share, 5), 9)))
+    fc = spark.createDataFrame([(month(m), d, f, v) for (m, d, f), v in forecasts.items()], "forecast_month date, parent_dealer_code string, model_family_code string, forecast double")
+    sold = spark.createDataFrame([(d, f, s, month(m), v) for (d, f, s, m), v in sales.items()], "parent_dealer_code string, model_family_code string, sku string, month_of_sale date, net_sales double")
+    out = disagg.disaggregate_months(fc, sold, spark.createDataFrame(skus, "model_family_code string, sku string, skustatus string")).collect()
+    names = ("forecast_month", "parent_dealer_code", "model_family_code", "sku", "forecast", "sales", "family_sales", "n_skus", "no_history_flag", "share")
+    assert len(out) == len(want) and {(*(r[n] for n in names), round(r["sku_forecast"], 9)) for r in out} == want
