@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelplan.operators import checks, joins, panel, windows
-from panelplan.plans import registry
+from panelplan.plans import catalog, registry
 from panelplan.plans.structure import bucketed_blend
 from panelplan.sources import io
 from panelplan.sources.scratch import scratch_dir
@@ -207,3 +207,18 @@ def test_sku_forecasts_equal_a_plain_loop(spark):
     out = disagg.disaggregate_months(fc, sold, spark.createDataFrame(skus, "model_family_code string, sku string, skustatus string")).collect()
     names = ("forecast_month", "parent_dealer_code", "model_family_code", "sku", "forecast", "sales", "family_sales", "n_skus", "no_history_flag", "share")
     assert len(out) == len(want) and {(*(r[n] for n in names), round(r["sku_forecast"], 9)) for r in out} == want
+
+
+@pytest.mark.parametrize("name", ["j6_scale_series"])
+def test_panel_queries_work_out_monthly_sales_once(spark, monkeypatch, name):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    monthly = registry._monthly(spark, SMALL)
+    monkeypatch.setattr(registry, "_monthly", lambda spark, d: monthly.withColumn("net_sales", counted("net_sales")))
+    assert catalog.QUERIES[name](spark, SMALL).collect()
+    assert seen.value == monthly.count()
