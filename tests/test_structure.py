@@ -209,7 +209,7 @@ def test_sku_forecasts_equal_a_plain_loop(spark):
     assert len(out) == len(want) and {(*(r[n] for n in names), round(r["sku_forecast"], 9)) for r in out} == want
 
 
-@pytest.mark.parametrize("name", ["j6_scale_series", "a9_panel_by_dealer", "a11_report"])
+@pytest.mark.parametrize("name", ["j6_scale_series", "a9_panel_by_dealer", "a11_report", "j7_scale_all"])
 def test_panel_queries_work_out_monthly_sales_once(spark, monkeypatch, name):
     seen = spark.sparkContext.accumulator(0)
 
